@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import line_dedup, quality, substring_dedup, token_counts, token_store
+from factloom.llm import decontam, jaccard_join, line_dedup, quality, substring_dedup, token_counts, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -29,10 +29,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -42,8 +50,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op6_token_counts, op8_line_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op5_benchmark_decontamination, op6_token_counts, op7_jaccard_join, op8_line_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.sql(), "op3_substring_dedup": substring_dedup.sql(), "op8_line_dedup": line_dedup.sql()}
+    return {
+        "op1_quality_rules": quality.sql(),
+        "op3_substring_dedup": substring_dedup.sql(),
+        "op5_benchmark_decontamination": decontam.SQL,
+        "op7_jaccard_join": jaccard_join.SQL,
+        "op8_line_dedup": line_dedup.sql(),
+    }
