@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontam, jaccard_join, line_dedup, quality, substring_dedup, token_counts, token_store
+from factloom.llm import decontam, html_extract, jaccard_join, licenses, line_dedup, pieces, quality, substring_dedup, token_counts, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -25,10 +25,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -45,12 +53,28 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op5_benchmark_decontamination, op6_token_counts, op7_jaccard_join, op8_line_dedup, op10_token_files)}
+    made = (
+        op1_quality_rules,
+        op2_sentencepiece,
+        op3_substring_dedup,
+        op4_license_scan,
+        op5_benchmark_decontamination,
+        op6_token_counts,
+        op7_jaccard_join,
+        op8_line_dedup,
+        op9_html_text,
+        op10_token_files,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
