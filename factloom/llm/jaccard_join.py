@@ -230,7 +230,7 @@ def _linked(members: DataFrame, sets: DataFrame, paths: Paths, partitions: int)
     similarity = paths.similarity
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left, right = None, [], []
+        key, left, right, met = None, [], [], set()
         out: list = []
 
         def flush() -> None:
@@ -248,7 +248,10 @@ def _linked(members: DataFrame, sets: DataFrame, paths: Paths, partitions: int)
                 if key != (bucket, i, j):
                     flush()
                     key, left, right = (bucket, i, j), [], []
-                (left if at == i else right).append((digest, copies, buckets, np.frombuffer(tokens, dtype=_U)))
+                    met = set()
+                if digest not in met:  # rows that repeat a doc_id and its text come twice
+                    met.add(digest)
+                    (left if at == i else right).append((digest, copies, buckets, np.frombuffer(tokens, dtype=_U)))
             if len(out) > 10_000:
                 yield made()
         flush()
@@ -326,7 +329,7 @@ def jaccard_join(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
 
     texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "text").join(needed.hint("shuffle_hash"), "key")
     sets = texts.select("wanted", "copies", "buckets", "text").mapInArrow(again, "digest binary, copies long, buckets array<long>, tokens binary")
-    sets = scratch.stored(sets.dropDuplicates(["digest"]), "sets")
+    sets = scratch.stored(sets, "sets")
     found = scratch.stored(_linked(members, sets, paths, partitions), "links")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     groups = scratch.stored(components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))), "components")
