@@ -34,7 +34,7 @@ class Paths:
     recall: float = 0.9999
     branches: float = 2.5
     levels: int = 3
-    bucket: int = 512
+    bucket: int = 1024
     width: int = 5
 
     @property
