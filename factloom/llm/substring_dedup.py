@@ -43,16 +43,13 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n"
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n") -> DataFrame:
     """Units that have to go: those whose digest occurs at a lesser (doc_id, place) too. Null ids rank last.
 
-    The first occurrence and the count of a digest are found with partial sums before the shuffle; the units then
-    meet the digests that repeat in a join that Spark can split for a digest with any share of the rows.
+    The first occurrence and the count of a digest are found with partial sums before the shuffle and stored; the
+    units then meet the digests that repeat in a join that Spark can split for a digest with any share of the rows.
     """
     found = scratch.stored(units(docs, least_words, separator), "units")
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("unit").alias("u"))
-    first = found.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("d"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = found.join(first, "digest")
-    # in the earliest document the first of its units stays; only one document's units are looked at for each digest
-    own = again.where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("d")).groupBy("digest").agg(F.min(rank)["u"].alias("u"))
-    late = again.join(own, "digest").where((rank["d"] != F.col("d")) | (rank["u"] != F.col("u")))
+    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("unit")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    late = found.join(scratch.stored(first, "first-units"), "digest").where(rank > F.col("first"))
     return late.select("doc_id", "unit", "start", "stop")
 
 
