@@ -107,4 +107,4 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     fresh.select("wanted", "text").mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == file).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return known.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return known.join(scratch.stored(counts, "token-counts"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
