@@ -1,15 +1,465 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each an operator over the fact tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import ids
+from factloom.operators import dataflow, defects, evidence, incremental, lookup, neighbours, overlay, resolve, shards, traversal
+from factloom.sources.facts import Facts, duckdb_with
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, uses: tuple[str, ...] = ()) -> Callable:
+    """Register a query under its name, with the SQL over fact tables that must give its rows."""
+
+    def add(f: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
+        name = f.__name__.strip("_")
+        _QUERIES[name] = lambda spark, sf_dir: f(Facts(spark, sf_dir))
+        if sql is not None:
+            _SQL[name] = (duckdb_with(*uses) + ", " + sql[5:] if sql.startswith("WITH ") else duckdb_with(*uses) + " " + sql) if uses else sql
+        return f
+
+    return add
+
+
+# Lookups
+
+
+@_query("SELECT id, kind, qualified_name FROM nodes WHERE name = 'ASIA' OR qualified_name = 'ASIA' OR ends_with(qualified_name, '.ASIA')", ("nodes",))
+def find_symbol(g: Facts) -> DataFrame:
+    return lookup.find_symbol(g.nodes, "ASIA").select("id", "kind", "qualified_name")
+
+
+_WANTED = "SELECT DISTINCT name AS symbol FROM nodes WHERE kind = 'Function'"
+_CANDIDATES = f"""WITH s AS ({_WANTED}),
+m AS (SELECT symbol, id, qualified_name, definition, CASE WHEN id = symbol THEN 0 WHEN qualified_name = symbol THEN 1 ELSE 2 END AS rank FROM nodes JOIN s ON name = symbol OR qualified_name = symbol OR id = symbol),
+c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN definition AND (SELECT count(*) FROM m x WHERE x.symbol = m.symbol AND x.definition) = 1 THEN 0 ELSE 1 END, rank, qualified_name, id) AS choice FROM m)
+"""
+
+
+@_query(_CANDIDATES + "SELECT symbol, id, rank, choice FROM c", ("nodes",))
+def resolve_candidates(g: Facts) -> DataFrame:
+    nodes = g.nodes
+    return lookup.candidates(nodes, nodes.where("kind = 'Function'").select(F.col("name").alias("symbol"))).select("symbol", "id", "rank", "choice")
+
+
+@_query(_CANDIDATES + "SELECT symbol, min(id) FILTER (WHERE choice = 1) AS id, count(*) FILTER (WHERE definition) AS definitions, count(*) FILTER (WHERE NOT definition) AS declarations, count(*) FILTER (WHERE definition) > 1 AS ambiguous FROM c GROUP BY symbol", ("nodes",))
+def get_definition(g: Facts) -> DataFrame:
+    nodes = g.nodes
+    return lookup.definition(nodes, nodes.where("kind = 'Function'").select(F.col("name").alias("symbol")))
+
+
+@_query("SELECT id, raw_name, start_line FROM raw_references WHERE file = 'FRANCE' AND call_kind = 'direct'", ("raw_references",))
+def raw_references_filter(g: Facts) -> DataFrame:
+    return lookup.where_equal(g.raw_references, ["file", F.coalesce("start_line", F.lit(0)), "id"], file="FRANCE", call_kind="direct", owner_id=None).select("id", "raw_name", "start_line")
+
+
+@_query("SELECT 'nodes' AS table_name, count(*) AS rows FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'points', count(*) FROM points", ("nodes", "edges", "points"))
+def status(g: Facts) -> DataFrame:
+    return lookup.status(nodes=g.nodes, edges=g.edges, points=g.points)
+
+
+# Ids and names
+
+
+@_query("SELECT p_partkey, 'symbol:' || sha256(concat_ws(chr(31), 'r', p_brand, 'Function', p_name, p_type)) AS id, p_type[1:3] AS head, list_last(string_split(p_brand || '.' || p_name, '.')) AS short FROM part")
+def symbol_ids(g: Facts) -> DataFrame:
+    part = g.table("part")
+    qualified = F.concat_ws(".", "p_brand", "p_name")
+    return part.select("p_partkey", ids.symbol_id(F.lit("r"), "p_brand", F.lit("Function"), "p_name", "p_type").alias("id"), F.substring("p_type", 1, 3).alias("head"), ids.short_name(qualified).alias("short"))
+
+
+@_query("SELECT event_id, 'event:' || sha256(concat_ws(chr(31), 'r', owner, type, CAST(ordinal AS STRING))) AS id FROM (SELECT *, row_number() OVER (PARTITION BY owner, type ORDER BY position) - 1 AS ordinal FROM points)", ("points",))
+def event_ids(g: Facts) -> DataFrame:
+    return dataflow.ordinals(g.points).select("event_id", ids.event_id(F.lit("r"), "owner", "type", "ordinal").alias("id"))
+
+
+@_query("SELECT s_suppkey, 'E-EDGE-' || sha256('[\"' || s_name || '\",\"' || CAST(s_nationkey AS STRING) || '\"]')[1:24] AS id FROM supplier")
+def evidence_ids(g: Facts) -> DataFrame:
+    return g.table("supplier").select("s_suppkey", ids.evidence_id("EDGE", "s_name", "s_nationkey").alias("id"))
+
+
+@_query("SELECT page_id, CASE WHEN len(f) = 0 THEN '.' ELSE array_to_string(f[1:2], '/') END AS shard, replace(regexp_replace(p, '\\.[^./]*$', ''), '/', '.') AS module FROM (SELECT page_id, p, string_split(p, '/')[1:len(string_split(p, '/')) - 1] AS f FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', '') AS p FROM pages))")
+def path_rules(g: Facts) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", "")
+    return g.table("pages").select("page_id", ids.directory_shard(path).alias("shard"), ids.module_name(path).alias("module"))
+
+
+# One-hop joins
+
+
+@_query("WITH t AS (SELECT dst_id FROM edges WHERE type = 'CALLS' GROUP BY dst_id ORDER BY count(*) DESC, dst_id LIMIT 1) SELECT n.id, n.qualified_name, count(*) AS lines FROM edges e JOIN t ON e.dst_id = t.dst_id JOIN nodes n ON e.src_id = n.id WHERE e.type = 'CALLS' GROUP BY n.id, n.qualified_name", ("nodes", "edges"))
+def callers(g: Facts) -> DataFrame:
+    edges = g.edges
+    top = edges.where("type = 'CALLS'").groupBy("dst_id").count().orderBy(F.desc("count"), "dst_id").limit(1).select(F.col("dst_id").alias("id"))
+    return neighbours.callers(edges, g.nodes, top).groupBy("id", "qualified_name").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@_query("SELECT src_id AS anchor, count(*) AS calls, count(DISTINCT n.id) AS functions FROM edges JOIN nodes n ON dst_id = n.id WHERE type = 'CALLS' GROUP BY src_id", ("nodes", "edges"))
+def callees(g: Facts) -> DataFrame:
+    return neighbours.callees(g.edges, g.nodes).groupBy("anchor").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("id").alias("functions"))
+
+
+@_query("SELECT dst_id AS anchor, n.id, n.qualified_name FROM edges JOIN nodes n ON src_id = n.id WHERE type = 'REFERENCES'", ("nodes", "edges"))
+def references_to(g: Facts) -> DataFrame:
+    return neighbours.referrers(g.edges, g.nodes).select("anchor", "id", "qualified_name")
+
+
+@_query("SELECT src_id AS anchor, type, n.id, n.kind FROM edges JOIN nodes n ON dst_id = n.id WHERE type IN ('CONTAINS', 'REFERENCES')", ("nodes", "edges"))
+def cross_layer_neighbours(g: Facts) -> DataFrame:
+    return neighbours.neighbours(g.edges, g.nodes, ["CONTAINS", "REFERENCES"], False).select("anchor", "type", "id", "kind")
+
+
+_BOUNDARY = "WITH b AS (SELECT e.id, s.shard AS src_shard, d.shard AS dst_shard, e.type FROM edges e JOIN nodes s ON src_id = s.id JOIN nodes d ON dst_id = d.id WHERE s.shard <> d.shard) "
+
+
+@_query(_BOUNDARY + "SELECT src_shard, dst_shard, type, count(*) AS edges FROM b GROUP BY ALL", ("nodes", "edges"))
+def boundary_edges(g: Facts) -> DataFrame:
+    return neighbours.shard_edges(g.edges, g.nodes).groupBy("src_shard", "dst_shard", "type").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@_query(_BOUNDARY + "SELECT DISTINCT src_shard AS shard, dst_shard AS other FROM b", ("nodes", "edges"))
+def shard_dependencies(g: Facts) -> DataFrame:
+    return neighbours.dependencies(neighbours.shard_edges(g.edges, g.nodes))
+
+
+@_query(_BOUNDARY + "SELECT DISTINCT dst_shard AS shard, src_shard AS other FROM b", ("nodes", "edges"))
+def shard_dependents(g: Facts) -> DataFrame:
+    return neighbours.dependencies(neighbours.shard_edges(g.edges, g.nodes), incoming=True)
+
+
+# Reference resolution
+
+_LADDER = """WITH f AS (SELECT id AS node, name, qualified_name, file AS node_file, signature, definition FROM nodes),
+u AS (SELECT DISTINCT raw_name, target_module, file FROM raw_references),
+w AS (SELECT raw_name, target_module, file, 1 AS tier, node, signature, definition FROM u JOIN f ON name = raw_name AND node_file = file
+      UNION ALL SELECT raw_name, target_module, file, 2, node, signature, definition FROM u JOIN f ON qualified_name = raw_name
+      UNION ALL SELECT raw_name, target_module, file, 3, node, signature, definition FROM u JOIN f ON qualified_name = target_module || '.' || raw_name
+      UNION ALL SELECT raw_name, target_module, file, 4, node, signature, definition FROM u JOIN f ON name = raw_name),
+t AS (SELECT raw_name, target_module, file, tier, list_sort(list(DISTINCT node)) AS candidates, count(DISTINCT signature) AS sigs, list(DISTINCT node) FILTER (WHERE definition) AS defs FROM w GROUP BY ALL),
+p AS (SELECT *, CASE WHEN len(candidates) = 1 THEN candidates[1] WHEN sigs = 1 AND len(defs) = 1 THEN defs[1] END AS picked, row_number() OVER (PARTITION BY raw_name, target_module, file ORDER BY tier) AS k FROM t),
+r AS (SELECT r.id, r.owner_id, r.call_kind, CASE WHEN call_kind = 'indirect' THEN NULL ELSE tier END AS tier, CASE WHEN call_kind <> 'indirect' THEN picked END AS picked, CASE WHEN call_kind <> 'indirect' THEN len(candidates) ELSE 0 END AS n
+      FROM raw_references r LEFT JOIN p ON r.raw_name = p.raw_name AND r.target_module IS NOT DISTINCT FROM p.target_module AND r.file = p.file AND k = 1),
+s AS (SELECT *, CASE WHEN picked IS NOT NULL THEN 'resolved' WHEN coalesce(n, 0) > 0 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM r)
+"""
+
+
+def _resolved(g: Facts) -> DataFrame:
+    nodes = g.nodes
+    return resolve.resolve(g.raw_references, nodes.where("kind = 'Function'"))
+
+
+_FUNCTIONS = _LADDER.replace("FROM nodes)", "FROM nodes WHERE kind = 'Function')", 1)
+
+
+@_query(_FUNCTIONS + "SELECT id, status, picked AS resolved_id, coalesce(n, 0) AS candidates, CASE WHEN status = 'resolved' THEN CASE tier WHEN 1 THEN 0.98::DOUBLE WHEN 2 THEN 0.99 WHEN 3 THEN 1.0 ELSE 0.75 END ELSE 0.0 END AS confidence FROM s", ("nodes", "raw_references"))
+def resolve_references(g: Facts) -> DataFrame:
+    return _resolved(g).select("id", "status", "resolved_id", F.size("candidates").cast("long").alias("candidates"), "confidence")
+
+
+@_query(_FUNCTIONS + "SELECT owner_id, CASE WHEN call_kind = 'indirect' THEN 'indirect' WHEN status = 'resolved' THEN 'direct' ELSE status END AS call_class, count(*) AS calls FROM s GROUP BY ALL", ("nodes", "raw_references"))
+def call_semantics(g: Facts) -> DataFrame:
+    return neighbours.call_semantics(_resolved(g))
+
+
+@_query(_FUNCTIONS + "SELECT s.id, o.shard AS owner_shard, t.shard AS target_shard FROM s LEFT JOIN nodes o ON owner_id = o.id LEFT JOIN nodes t ON picked = t.id WHERE status = 'resolved' AND o.shard IS DISTINCT FROM t.shard", ("nodes", "raw_references"))
+def boundary_references(g: Facts) -> DataFrame:
+    return neighbours.boundary_references(_resolved(g), g.nodes).select("id", "owner_shard", "target_shard")
+
+
+# Shards
+
+_PRINTS = """WITH q AS (SELECT DISTINCT shard, kind || '|' || qualified_name || '|' || coalesce(signature, '') AS s FROM nodes WHERE NOT starts_with(name, '_')),
+fp AS (SELECT shard, count(*) AS symbols, sha256(string_agg(s, chr(10) ORDER BY s)) AS fingerprint FROM q GROUP BY shard)
+"""
+
+
+@_query(_PRINTS + "SELECT * FROM fp", ("nodes",))
+def shard_fingerprints(g: Facts) -> DataFrame:
+    return shards.fingerprints(g.nodes)
+
+
+@_query(_PRINTS + ", n AS (SELECT shard, count(*) AS nodes FROM nodes GROUP BY shard), o AS (SELECT s.shard, count(*) AS edges, count(*) FILTER (WHERE s.shard <> d.shard) AS boundary_edges FROM edges JOIN nodes s ON src_id = s.id JOIN nodes d ON dst_id = d.id GROUP BY s.shard) SELECT shard, nodes, coalesce(edges, 0) AS edges, coalesce(boundary_edges, 0) AS boundary_edges, fingerprint FROM n LEFT JOIN o USING (shard) LEFT JOIN fp USING (shard)", ("nodes", "edges"))
+def build_shards(g: Facts) -> DataFrame:
+    return shards.build_shards(g.nodes, g.edges)
+
+
+@_query("WITH n AS (SELECT shard, count(*) AS c FROM nodes GROUP BY shard), k AS (SELECT c, row_number() OVER (ORDER BY c, shard) AS k, count(*) OVER () AS n FROM n) SELECT max(n) AS shards, min(c) AS least, max(c) FILTER (WHERE k = (n - 1) // 2 + 1) AS median, max(c) FILTER (WHERE k = CAST(ceil(n * 0.95) AS BIGINT)) AS p95, max(c) AS most, round(max(c) / sum(c), 6) AS giant_share FROM k", ("nodes",))
+def shard_quality(g: Facts) -> DataFrame:
+    return shards.qualify(g.nodes.groupBy("shard").agg(F.count(F.lit(1)).alias("nodes")))
+
+
+@_query("SELECT base, path, (row_number() OVER (PARTITION BY base ORDER BY density DESC, path) - 1) % CAST(ceil(count(*) OVER (PARTITION BY base) / 80) AS BIGINT) AS bucket FROM (SELECT c_nationkey AS base, c_name AS path, c_acctbal AS density FROM customer)")
+def structural_buckets(g: Facts) -> DataFrame:
+    return shards.structural_buckets(g.table("customer").selectExpr("c_nationkey as base", "c_name as path", "c_acctbal as density")).select("base", "path", "bucket")
+
+
+# Overlays
+
+_BASE = "WITH base AS (SELECT CAST(o_orderkey AS STRING) AS entity_id, o_orderstatus AS status FROM orders), "
+_VIEW = _BASE + "v AS (SELECT * FROM base WHERE entity_id NOT IN (SELECT entity_id FROM overlay) UNION ALL SELECT entity_id, status FROM overlay WHERE operation <> 'DELETE') "
+
+
+def _base(g: Facts) -> DataFrame:
+    return g.table("orders").select(F.col("o_orderkey").cast("string").alias("entity_id"), F.col("o_orderstatus").alias("status"))
+
+
+@_query(_VIEW + "SELECT status, count(*) AS entities, min(entity_id) AS first FROM v GROUP BY status", ("overlay",))
+def overlay_view(g: Facts) -> DataFrame:
+    return overlay.read(_base(g), g.overlay).groupBy("status").agg(F.count(F.lit(1)).alias("entities"), F.min("entity_id").alias("first"))
+
+
+@_query(_VIEW + "SELECT coalesce(b.entity_id, v.entity_id) AS entity_id, CASE WHEN b.entity_id IS NULL THEN 'ADD' WHEN v.entity_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation FROM base b FULL JOIN v ON b.entity_id = v.entity_id WHERE b.entity_id IS NULL OR v.entity_id IS NULL OR b.status IS DISTINCT FROM v.status", ("overlay",))
+def capture_delta(g: Facts) -> DataFrame:
+    base = _base(g)
+    return overlay.capture(base, overlay.read(base, g.overlay), "entity_id", ["entity_id", "status"]).select("entity_id", "operation")
+
+
+@_query("SELECT 0::BIGINT AS differences")
+def overlay_parity(g: Facts) -> DataFrame:
+    base, layer = _base(g), g.overlay
+    full = base.join(layer.select("entity_id", F.col("status").alias("new"), "operation"), "entity_id", "full_outer").where("operation is null or operation <> 'DELETE'").select("entity_id", F.when(F.col("operation").isNull(), F.col("status")).otherwise(F.col("new")).alias("status"))
+    return overlay.parity(overlay.read(base, layer), full).agg(F.count(F.lit(1)).alias("differences"))
+
+
+@_query("SELECT t AS entity_type, o AS operation, count(entity_id) AS n FROM (SELECT * FROM (SELECT unnest(['edges', 'nodes']) AS t), (SELECT unnest(['ADD', 'UPDATE', 'DELETE']) AS o)) AS g LEFT JOIN overlay ON t = 'nodes' AND operation = o GROUP BY t, o", ("overlay",))
+def overlay_counts(g: Facts) -> DataFrame:
+    return overlay.counts(g.overlay.withColumn("entity_type", F.lit("nodes")), ["nodes", "edges"]).select("entity_type", "operation", "n")
+
+
+_OTHER = "x AS (SELECT entity_id, CASE WHEN operation = 'UPDATE' THEN 'DELETE' ELSE operation END AS operation, CASE WHEN operation = 'UPDATE' THEN NULL WHEN operation = 'ADD' THEN 'M' ELSE status END AS status FROM overlay) "
+
+
+def _other(layer: DataFrame) -> DataFrame:
+    update, add = F.col("operation") == "UPDATE", F.col("operation") == "ADD"
+    return layer.select("entity_id", F.when(update, "DELETE").otherwise(F.col("operation")).alias("operation"), F.when(update, None).when(add, "M").otherwise(F.col("status")).alias("status"))
+
+
+@_query("WITH " + _OTHER + "SELECT entity_id, CASE WHEN 'DELETE' IN (o.operation, x.operation) THEN 'DELETE_UPDATE' WHEN o.operation = 'ADD' AND x.operation = 'ADD' THEN 'ADD_ADD' ELSE 'ENTITY' END AS conflict FROM overlay o JOIN x USING (entity_id) WHERE o.operation <> x.operation OR o.status IS DISTINCT FROM x.status", ("overlay",))
+def overlay_conflicts(g: Facts) -> DataFrame:
+    layer = g.overlay
+    return overlay.conflicts(layer, _other(layer), "status")
+
+
+@_query("WITH " + _OTHER + "SELECT DISTINCT entity_id, operation FROM (SELECT * FROM overlay UNION ALL SELECT * FROM x) WHERE entity_id NOT IN (SELECT o.entity_id FROM overlay o JOIN x USING (entity_id) WHERE o.operation <> x.operation OR o.status IS DISTINCT FROM x.status)", ("overlay",))
+def overlay_merge(g: Facts) -> DataFrame:
+    layer = g.overlay
+    return overlay.merge(layer, _other(layer), "status").select("entity_id", "operation")
+
+
+@_query("SELECT entity_id, operation, TRY_CAST(entity_id AS BIGINT) IS NULL OR TRY_CAST(entity_id AS BIGINT) % 4 <> 0 AS kept FROM overlay", ("overlay",))
+def overlay_rebase(g: Facts) -> DataFrame:
+    old = _base(g)
+    new = old.withColumn("status", F.when(F.expr("cast(entity_id as bigint) % 4 = 0"), F.concat("status", F.lit("!"))).otherwise(F.col("status")))
+    return overlay.rebase(g.overlay, old, new, "entity_id", ["entity_id", "status"]).select("entity_id", "operation", "kept")
+
+
+# Incremental
+
+_DAY = "TIMESTAMP '1996-01-01'"
+
+
+@_query(f"WITH o AS (SELECT l_orderkey AS k, sum(l_linenumber) AS d FROM lineitem WHERE l_shipdate < {_DAY} GROUP BY 1), n AS (SELECT l_orderkey AS k, sum(l_linenumber) AS d FROM lineitem WHERE l_shipdate < {_DAY} + INTERVAL 300 DAY AND l_shipdate >= {_DAY} - INTERVAL 900 DAY GROUP BY 1) SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.k = n.k WHERE o.d IS DISTINCT FROM n.d")
+def incremental_changes(g: Facts) -> DataFrame:
+    rows = g.table("lineitem")
+    side = lambda cond: rows.where(cond).groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_linenumber").alias("d"))
+    return incremental.changes(side(f"l_shipdate < {_DAY}"), side(f"l_shipdate < {_DAY} + INTERVAL 300 DAYS and l_shipdate >= {_DAY} - INTERVAL 900 DAYS"), "k", "d")
+
+
+_FRONTIER = _BOUNDARY.replace(" WHERE s.shard <> d.shard)", " WHERE s.shard <> d.shard AND type = 'CALLS')")
+
+
+@_query(_FRONTIER + "SELECT src_shard AS shard, count(*) AS edges, count(*) OVER () > 8 AS wide FROM b WHERE dst_shard IN ('Brand#11', 'Brand#12') AND src_shard NOT IN ('Brand#11', 'Brand#12') AND right(id, 1) IN ('0', '1') GROUP BY src_shard", ("nodes", "edges"))
+def impact_frontier(g: Facts) -> DataFrame:
+    now = neighbours.shard_edges(g.edges.where("type = 'CALLS'"), g.nodes)
+    changed = g.spark.createDataFrame([("Brand#11",), ("Brand#12",)], "shard string")
+    return incremental.impact_frontier(changed, now.where("right(id, 1) not in ('0', '1')"), now)
+
+
+@_query("WITH a AS (SELECT DISTINCT p_name AS name, p_type FROM part WHERE p_partkey % 10 <> 0), b AS (SELECT DISTINCT p_name AS name, p_type FROM part WHERE p_partkey % 10 <> 1) SELECT DISTINCT name FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))")
+def affected_names(g: Facts) -> DataFrame:
+    part = g.table("part").withColumnRenamed("p_name", "name")
+    return incremental.affected_names(part.where("p_partkey % 10 <> 0"), part.where("p_partkey % 10 <> 1"), ["p_type"])
+
+
+# Evidence
+
+_ITEMS = """WITH i AS (SELECT CAST(doc_id AS STRING) AS id, source AS anchor, CASE WHEN quality = 1 THEN 'primary' ELSE 'supporting' END AS role, lang AS kind,
+CASE WHEN toxic = 1 THEN 'unresolved' WHEN doc_id % 3 = 0 THEN 'ambiguous' ELSE 'resolved' END AS status, doc_id % 2 = 0 AS direct, CAST(doc_id % 7 AS DOUBLE) / 8 AS confidence, n_chars AS distance, doc_id % 5 = 0 AS boundary FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY CASE role WHEN 'primary' THEN 0 ELSE 1 END, CASE kind WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 99 END, CASE status WHEN 'resolved' THEN 0 WHEN 'ambiguous' THEN 1 ELSE 2 END, direct DESC, confidence DESC, distance, boundary, id) AS rank FROM i)
+"""
+
+
+def _items(g: Facts) -> DataFrame:
+    rows = g.table("documents").join(g.table("labels"), "doc_id")
+    return rows.selectExpr(
+        "cast(doc_id as string) as id", "source as anchor", "if(quality = 1, 'primary', 'supporting') as role", "lang as kind",
+        "case when toxic = 1 then 'unresolved' when doc_id % 3 = 0 then 'ambiguous' else 'resolved' end as status", "doc_id % 2 = 0 as direct", "cast(doc_id % 7 as double) / 8 as confidence", "n_chars as distance", "doc_id % 5 = 0 as boundary",
+    )
+
+
+def _ranked(g: Facts) -> DataFrame:
+    return evidence.rank(_items(g), {"primary": 0, "supporting": 1}, {"en": 0, "de": 1}, "anchor")
+
+
+@_query(_ITEMS + "SELECT id, anchor, rank FROM r", ("points",))
+def rank_evidence(g: Facts) -> DataFrame:
+    return _ranked(g).select("id", "anchor", "rank")
+
+
+@_query(_ITEMS + ", k AS (SELECT *, row_number() OVER (PARTITION BY anchor, role = 'primary' ORDER BY rank) AS k FROM r), c AS (SELECT *, count(*) FILTER (WHERE role = 'primary' AND k <= 5) OVER (PARTITION BY anchor) AS shown FROM k) SELECT id, anchor, rank FROM c WHERE CASE WHEN role = 'primary' THEN k <= 5 ELSE k <= greatest(0, 8 - shown) END", ("points",))
+def evidence_bundle(g: Facts) -> DataFrame:
+    return evidence.bundle(_ranked(g), "anchor", 5, 8).select("id", "anchor", "rank")
+
+
+@_query(_ITEMS + ", o AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, id) AS place FROM i WHERE confidence >= 0.3), f AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY place) <= greatest(1, 50 // (SELECT count(DISTINCT anchor) FROM o)) AS floor FROM o) SELECT id, anchor FROM (SELECT *, row_number() OVER (ORDER BY floor DESC, place) AS k FROM f) WHERE k <= 50", ("points",))
+def result_window(g: Facts) -> DataFrame:
+    items = _items(g).withColumnRenamed("anchor", "family").withColumn("rank", F.struct((-F.col("confidence")).alias("c"), "id"))
+    return evidence.select_window(items, 50).select("id", F.col("family").alias("anchor"))
+
+
+@_query(_ITEMS + "SELECT id, anchor FROM (SELECT *, rank() OVER (PARTITION BY anchor ORDER BY confidence DESC) AS a, row_number() OVER (PARTITION BY anchor ORDER BY confidence DESC, id) AS b FROM i) WHERE a <= 3 AND b <= 6", ("points",))
+def top_with_ties(g: Facts) -> DataFrame:
+    return evidence.top_with_ties(_items(g), "confidence", 3, 6, "anchor").select("id", "anchor")
+
+
+# Data flow
+
+_FLOW = """WITH w AS (SELECT *, last_value(CASE WHEN type IN ('ALLOC', 'WRITE', 'RELEASE') THEN position END IGNORE NULLS) OVER (PARTITION BY owner, subject ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM points),
+fl AS (SELECT w.owner, w.subject, s.event_id AS src, w.event_id AS dst, s.position AS sp, w.position AS dp, w.type, CASE s.type WHEN 'RELEASE' THEN 'free_to_use' WHEN 'ALLOC' THEN 'alloc_to_use' ELSE 'value_flow' END AS flow
+      FROM w JOIN points s ON s.owner = w.owner AND s.position = w.at WHERE w.type IN ('DEREFERENCE', 'CHECK'))
+"""
+
+
+@_query("SELECT event_id, row_number() OVER (PARTITION BY owner, type ORDER BY position) - 1 AS ordinal FROM points", ("points",))
+def event_ordinals(g: Facts) -> DataFrame:
+    return dataflow.ordinals(g.points).select("event_id", "ordinal")
+
+
+@_query("SELECT * FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY owner ORDER BY position) AS dst, owner FROM points) WHERE dst IS NOT NULL", ("points",))
+def control_reaches(g: Facts) -> DataFrame:
+    return dataflow.control_edges(g.points)
+
+
+@_query(_FLOW + "SELECT owner, subject, src, dst, flow FROM fl", ("points",))
+def data_flow(g: Facts) -> DataFrame:
+    return dataflow.flow_edges(g.points).select("owner", "subject", "src", "dst", "flow")
+
+
+@_query(_FLOW + "SELECT src, dst, (SELECT count(*) FROM points p WHERE p.owner = fl.owner AND p.subject = fl.subject AND p.position > sp AND p.position < dp) AS via FROM fl", ("points",))
+def flow_via(g: Facts) -> DataFrame:
+    points = g.points
+    return dataflow.between(dataflow.flow_edges(points), points).select("src", "dst", "via")
+
+
+@_query("SELECT owner, lock, count(*) FILTER (WHERE type = 'LOCK') AS acquires, count(*) FILTER (WHERE type = 'UNLOCK') AS releases, greatest(0, count(*) FILTER (WHERE type = 'LOCK') - count(*) FILTER (WHERE type = 'UNLOCK')) AS unpaired_acquires, greatest(0, count(*) FILTER (WHERE type = 'UNLOCK') - count(*) FILTER (WHERE type = 'LOCK')) AS unpaired_releases FROM locks WHERE type <> 'ACCESS' GROUP BY owner, lock", ("points", "locks"))
+def lock_pairing(g: Facts) -> DataFrame:
+    return dataflow.lock_pairing(g.locks)
+
+
+_HELD = "WITH h AS (SELECT a.event_id, a.owner, a.type, a.lock AS own, l.lock, arg_max(l.type, l.position) AS state FROM locks a JOIN locks l ON l.owner = a.owner AND l.position < a.position AND l.type <> 'ACCESS' GROUP BY ALL) "
+
+
+@_query(_HELD + "SELECT a.event_id, coalesce(string_agg(CAST(h.lock AS STRING), ',' ORDER BY h.lock) FILTER (WHERE state = 'LOCK'), '') AS held FROM locks a LEFT JOIN h USING (event_id) WHERE a.type = 'ACCESS' GROUP BY a.event_id", ("points", "locks"))
+def access_locksets(g: Facts) -> DataFrame:
+    return dataflow.held_locks(g.locks).select("event_id", F.array_join(F.array_sort("held"), ",").alias("held"))
+
+
+@_query(_HELD + ", p AS (SELECT DISTINCT owner, lock AS first, own AS second FROM h WHERE type = 'LOCK' AND state = 'LOCK' AND lock <> own), c AS (SELECT first, second, count(*) AS owners FROM p GROUP BY ALL) SELECT c.first, c.second, c.owners, d.owners AS inverse FROM c JOIN c d ON c.first = d.second AND c.second = d.first WHERE c.first < c.second", ("points", "locks"))
+def lock_order(g: Facts) -> DataFrame:
+    return defects.lock_order(g.locks)
+
+
+@_query(_HELD + "SELECT owner, own AS lock, event_id FROM h WHERE type = 'LOCK' AND own = lock AND state = 'LOCK'", ("points", "locks"))
+def self_deadlock(g: Facts) -> DataFrame:
+    return defects.self_deadlock(g.locks)
+
+
+# Defects
+
+
+@_query("WITH w AS (SELECT *, last_value(CASE WHEN type IN ('RELEASE', 'ALLOC', 'WRITE') THEN position END IGNORE NULLS) OVER (PARTITION BY owner, subject ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM points) SELECT w.owner, w.subject, s.event_id AS first, w.event_id AS second FROM w JOIN points s ON s.owner = w.owner AND s.position = w.at WHERE w.type = 'RELEASE' AND s.type = 'RELEASE'", ("points",))
+def double_free(g: Facts) -> DataFrame:
+    return defects.double_free(g.points)
+
+
+@_query(_FLOW + "SELECT owner, subject, src AS release, dst AS use FROM fl WHERE flow = 'free_to_use' AND type = 'DEREFERENCE'", ("points",))
+def use_after_free(g: Facts) -> DataFrame:
+    return defects.use_after_free(g.points)
+
+
+@_query(_FLOW + "SELECT owner, subject, src AS alloc, dst AS use FROM fl WHERE flow = 'alloc_to_use' AND type = 'DEREFERENCE' AND NOT EXISTS (SELECT 1 FROM points p WHERE p.owner = fl.owner AND p.subject = fl.subject AND p.type = 'CHECK' AND p.position > sp AND p.position < dp)", ("points",))
+def null_flow(g: Facts) -> DataFrame:
+    return defects.null_flow(g.points)
+
+
+@_query("SELECT owner, subject, event_id AS alloc, coalesce(nxt, 'EXIT') AS lost_at FROM (SELECT *, (SELECT arg_min(q.type, q.position) FROM points q WHERE q.owner = p.owner AND q.subject = p.subject AND q.position > p.position AND q.type IN ('RELEASE', 'ALLOC', 'WRITE')) AS nxt FROM points p WHERE type = 'ALLOC') WHERE nxt IS NULL OR nxt <> 'RELEASE'", ("points",))
+def resource_lifetime(g: Facts) -> DataFrame:
+    return defects.resource_leak(g.points)
+
+
+@_query("WITH p AS (SELECT subject, owner, count(*) FILTER (WHERE type IN ('WRITE', 'ALLOC')) AS writes, count(*) AS touches FROM points GROUP BY ALL), t AS (SELECT *, count(*) OVER (PARTITION BY subject) AS owners, row_number() OVER (PARTITION BY subject ORDER BY writes DESC, owner) AS a, row_number() OVER (PARTITION BY subject ORDER BY touches DESC, owner) AS b FROM p) SELECT w.subject, w.owner AS writer, w.writes, w.owners, o.owner AS other, o.touches FROM t w JOIN t o USING (subject) WHERE w.owners > 1 AND w.writes > 0 AND w.a <= 3 AND o.b <= 3 AND w.owner <> o.owner", ("points",))
+def race_condition(g: Facts) -> DataFrame:
+    return defects.race(g.points)
+
+
+@_query("SELECT owner, subject, count(*) AS checks FROM points p WHERE type = 'CHECK' AND NOT EXISTS (SELECT 1 FROM points w WHERE w.owner = p.owner AND w.subject = p.subject AND w.type = 'WRITE') GROUP BY ALL", ("points",))
+def state_machine(g: Facts) -> DataFrame:
+    return defects.state_machine(g.points)
+
+
+@_query("SELECT owner, subject, event_id FROM (SELECT *, lead(type) OVER (PARTITION BY owner, subject ORDER BY position) AS nxt FROM points) WHERE type = 'ALLOC' AND nxt = 'DEREFERENCE'", ("points",))
+def error_handling(g: Facts) -> DataFrame:
+    return defects.error_handling(g.points)
+
+
+# Traversal
+
+
+@_query("SELECT src_id, count(*) AS degree, min(dst_id) AS first FROM edges WHERE type = 'CONTAINS' GROUP BY src_id", ("edges",))
+def adjacency(g: Facts) -> DataFrame:
+    return traversal.adjacency(g.edges.where("type = 'CONTAINS'")).select("src_id", F.size("out").cast("long").alias("degree"), F.col("out")[0]["dst"].alias("first"))
+
+
+_ANCHOR = "(SELECT min(id) FROM nodes WHERE kind = 'Namespace')"
+
+
+@_query(f"WITH e AS (SELECT id, src_id AS a, dst_id AS b FROM edges UNION ALL SELECT id, dst_id, src_id FROM edges), o AS (SELECT b AS id, min(e.id) AS edge FROM e WHERE a = {_ANCHOR} AND b <> {_ANCHOR} GROUP BY b ORDER BY edge LIMIT 99), w AS (SELECT b AS id, min(e.id) AS edge FROM e JOIN o ON a = o.id WHERE b <> {_ANCHOR} AND b NOT IN (SELECT id FROM o) GROUP BY b ORDER BY edge LIMIT (SELECT 99 - count(*) FROM o)) SELECT {_ANCHOR} AS id, 0 AS distance UNION ALL SELECT id, 1 FROM o UNION ALL SELECT id, 2 FROM w", ("nodes", "edges"))
+def subgraph(g: Facts) -> DataFrame:
+    anchor = g.nodes.where("kind = 'Namespace'").agg(F.min("id")).collect()[0][0]
+    return traversal.subgraph(g.edges, anchor)
+
+
+_STEPS = "WITH s AS (SELECT DISTINCT n_regionkey * 1000 AS src, n_nationkey AS dst FROM nation UNION SELECT n_nationkey, 100000 + s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_nationkey, n_regionkey * 1000 FROM nation), "
+
+
+@_query(_STEPS.replace("WITH s AS", "WITH RECURSIVE s AS") + "r AS (SELECT src AS start, dst AS node FROM s WHERE src IN (0, 1000) UNION SELECT start, dst FROM r JOIN s ON node = src) SELECT start, node FROM r")
+def reachability(g: Facts) -> DataFrame:
+    nation, supplier = g.table("nation"), g.table("supplier")
+    down = nation.selectExpr("cast(n_regionkey * 1000 as long) as src", "cast(n_nationkey as long) as dst")
+    leaf = supplier.selectExpr("cast(s_nationkey as long) as src", "100000 + s_suppkey as dst")
+    up = nation.selectExpr("cast(n_nationkey as long) as src", "cast(n_regionkey * 1000 as long) as dst")
+    starts = g.spark.createDataFrame([(0,), (1000,)], "start long")
+    return traversal.reachable(down.unionByName(leaf).unionByName(up), starts)
+
+
+@_query()
+def find_paths(g: Facts) -> DataFrame:
+    points = g.points
+    edges = dataflow.control_edges(points)
+    marks = points.selectExpr("owner", "event_id as point", "type = 'ALLOC' as is_start", "type = 'RELEASE' as is_target", "type = 'CHECK' as is_blocked")
+    return traversal.find_paths(edges, marks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
