@@ -220,13 +220,19 @@ def _compare(bucket: int, left: list, right: list | None, similarity: float) ->
         yield rows[i][0], rows[root[i]][0], int(links[i]), int(documents[i])
 
 
-def _linked(members: DataFrame, sets: DataFrame, paths: Paths, partitions: int) -> DataFrame:
-    """digest, root, links, documents from each group of sets that is compared."""
+def _places(members: DataFrame, paths: Paths) -> DataFrame:
+    """digest, buckets (sorted) and places (bucket, blocks i and j, own block): the groups that each set is compared in."""
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", F.ceil(F.col("members") / paths.bucket).cast("int")).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     each = dealt.select("digest", "bucket", "block", other).select("digest", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = each.join(sets, "digest").repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block")
+    return each.groupBy("digest").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"), F.collect_list(F.struct("bucket", "i", "j", "block")).alias("places"))
+
+
+def _linked(sets: DataFrame, paths: Paths, partitions: int) -> DataFrame:
+    """digest, root, links, documents from each group of ``sets(digest, copies, buckets, places, tokens)``."""
+    each = sets.select("digest", "copies", "buckets", "tokens", F.explode("places").alias("p")).select("p.*", "digest", "copies", "buckets", "tokens")
+    rows = each.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block")
     similarity = paths.similarity
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +320,8 @@ def jaccard_join(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
     counted = scratch.stored(some.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies")), "set-classes")
     first = some.join(counted.hint("shuffle_hash"), "digest").where(F.col("doc_id").eqNullSafe(F.col("copy_of"))).select("digest", "chosen").dropDuplicates(["digest"])
     members = _buckets(scratch.stored(first, "set-paths"), paths)
-    needed = members.groupBy("digest").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")).join(counted, "digest")
-    needed = scratch.stored(needed.select(F.coalesce("copy_of", F.lit(-1)).alias("key"), F.col("digest").alias("wanted"), "copies", "buckets"), "wanted-sets")
+    needed = _places(members, paths).join(counted, "digest")
+    needed = scratch.stored(needed.select(F.coalesce("copy_of", F.lit(-1)).alias("key"), F.col("digest").alias("wanted"), "copies", "buckets", "places"), "wanted-sets")
     width = paths.width
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,13 +330,13 @@ def jaccard_join(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
                 part = batch.slice(k, 1000)
                 sets = shingle_sets(part.column("text"), width)
                 same = pa.array([_digest(s) == w for s, w in zip(sets, part.column("wanted").to_pylist(), strict=True)], pa.bool_())
-                made = pa.RecordBatch.from_arrays([part.column("wanted"), part.column("copies"), part.column("buckets"), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "copies", "buckets", "tokens"])
+                made = pa.RecordBatch.from_arrays([part.column("wanted"), *(part.column(c) for c in ("copies", "buckets", "places")), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "copies", "buckets", "places", "tokens"])
                 yield made.filter(same)
 
     texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "text").join(needed.hint("shuffle_hash"), "key")
-    sets = texts.select("wanted", "copies", "buckets", "text").mapInArrow(again, "digest binary, copies long, buckets array<long>, tokens binary")
-    sets = scratch.stored(sets, "sets")
-    found = scratch.stored(_linked(members, sets, paths, partitions), "links")
+    schema = "digest binary, copies long, buckets array<long>, places array<struct<bucket:long,i:int,j:int,block:int>>, tokens binary"
+    sets = texts.select("wanted", "copies", "buckets", "places", "text").mapInArrow(again, schema)
+    found = scratch.stored(_linked(sets, paths, partitions), "links")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     groups = scratch.stored(components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))), "components")
     labelled = counted.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
