@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids
-from factloom.operators import dataflow, defects, evidence, incremental, lookup, neighbours, overlay, resolve, shards, traversal
+from factloom.operators import concurrency, dataflow, defects, evidence, governance, incremental, knowledge, lookup, neighbours, overlay, resolve, shards, spans, traversal
 from factloom.sources.facts import Facts, duckdb_with
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,9 +55,9 @@ def get_definition(g: Facts) -> DataFrame:
     return lookup.definition(nodes, nodes.where("kind = 'Function'").select(F.col("name").alias("symbol")))
 
 
-@_query("SELECT id, raw_name, start_line FROM raw_references WHERE file = 'FRANCE' AND call_kind = 'direct'", ("raw_references",))
+@_query("SELECT id, raw_name, start_line FROM raw_references WHERE file = 'NATION_3' AND call_kind = 'direct'", ("raw_references",))
 def raw_references_filter(g: Facts) -> DataFrame:
-    return lookup.where_equal(g.raw_references, ["file", F.coalesce("start_line", F.lit(0)), "id"], file="FRANCE", call_kind="direct", owner_id=None).select("id", "raw_name", "start_line")
+    return lookup.where_equal(g.raw_references, ["file", F.coalesce("start_line", F.lit(0)), "id"], file="NATION_3", call_kind="direct", owner_id=None).select("id", "raw_name", "start_line")
 
 
 @_query("SELECT 'nodes' AS table_name, count(*) AS rows FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'points', count(*) FROM points", ("nodes", "edges", "points"))
@@ -457,6 +457,116 @@ def find_paths(g: Facts) -> DataFrame:
     return traversal.find_paths(edges, marks)
 
 
+# Knowledge
+
+_DOCS = """WITH md AS (SELECT p_partkey AS doc, '# ' || p_brand || chr(10) || 'see `' || p_brand || '.' || p_name || '` and `' || p_name || '`, [module:' || p_brand || '] `x.py`' || chr(10) || '## REQ-' || CAST(p_partkey AS STRING) || ' ' || p_type || chr(10) || 'body' || chr(10)
+|| CASE WHEN p_partkey % 2 = 0 THEN '### Deep' || chr(10) || 'x' || chr(10) ELSE '' END || '## REQ-' || CAST(p_partkey AS STRING) || ' ' || p_type || chr(10) || '# Other' || chr(10) || '### Low' AS text FROM part)"""
+
+
+def _markdown(g: Facts) -> DataFrame:
+    part = g.table("part")
+    return g.spark.sql(_DOCS.replace("FROM part", "FROM {part}") + " SELECT doc, text FROM md", part=part)
+
+
+@_query(_DOCS + """, l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, len(string_split(text, chr(10))) AS n FROM md),
+h AS (SELECT doc, pos, n, length(regexp_extract(line, '^(#{1,6})\\s', 1)) AS level, regexp_replace(line, '^#+\\s+', '') AS title FROM l WHERE line LIKE '#%'),
+a AS (SELECT h.doc, h.pos, h.n, h.level, h.title, (SELECT string_agg(u.title, ' / ' ORDER BY u.pos) FROM h u WHERE u.doc = h.doc AND u.pos < h.pos AND u.level < h.level AND NOT EXISTS (SELECT 1 FROM h w WHERE w.doc = h.doc AND w.pos > u.pos AND w.pos < h.pos AND w.level <= u.level)) AS above FROM h),
+p AS (SELECT *, coalesce(above || ' / ', '') || title AS path FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY doc, path ORDER BY pos) AS k FROM p)
+SELECT doc, level, title, path || CASE WHEN k > 1 THEN '[' || k || ']' ELSE '' END AS heading_path, pos AS start_line, coalesce(lead(pos) OVER (PARTITION BY doc ORDER BY pos) - 1, n) AS end_line FROM k""")
+def markdown_sections(g: Facts) -> DataFrame:
+    return knowledge.sections(_markdown(g))
+
+
+_LINKS = _DOCS + """, r AS (SELECT doc, 'symbol' AS kind, unnest(regexp_extract_all(text, '`([^`\\n]+)`', 1)) AS anchor FROM md UNION SELECT doc, 'module', unnest(regexp_extract_all(text, '\\[module:([^\\]]+)\\]', 1)) FROM md UNION SELECT doc, 'requirement', unnest(regexp_extract_all(text, 'REQ-[0-9]+')) FROM md),
+f AS (SELECT DISTINCT doc, CASE WHEN kind = 'symbol' AND ends_with(anchor, '.py') THEN 'file' ELSE kind END AS kind, anchor FROM r)
+"""
+
+
+@_query(_LINKS + "SELECT doc, kind, anchor FROM f")
+def document_anchors(g: Facts) -> DataFrame:
+    return knowledge.anchors(_markdown(g))
+
+
+@_query(_LINKS + """, t AS (SELECT 'requirement' AS kind, 'REQ-' || CAST(p_partkey AS STRING) AS anchor, CAST(p_partkey AS STRING) AS target, 1.0 AS sure, 0 AS tier FROM part WHERE p_partkey % 3 = 0 UNION SELECT 'module', shard, shard, 0.9, 0 FROM nodes UNION SELECT 'file', file, file, 1.0, 0 FROM nodes
+UNION SELECT 'symbol', qualified_name, id, 1.0, 0 FROM nodes UNION SELECT 'symbol', name, id, 0.7, 1 FROM nodes WHERE name <> qualified_name),
+c AS (SELECT kind, anchor, tier, sure, count(*) AS n, min(target) AS target FROM t GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY kind, anchor ORDER BY tier) AS k FROM c)
+SELECT doc, kind, anchor, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN target END AS target, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN CAST(sure AS DOUBLE) ELSE 0.0 END AS confidence FROM f LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (kind, anchor)""", ("nodes",))
+def link_documents(g: Facts) -> DataFrame:
+    needs = g.table("part").where("p_partkey % 3 = 0").selectExpr("'REQ-' || cast(p_partkey as string) as anchor", "cast(p_partkey as string) as target")
+    return knowledge.link(knowledge.anchors(_markdown(g)), g.nodes, needs)
+
+
+# Spans
+
+_SPANS = "WITH s AS (SELECT c_custkey AS span, c_nationkey AS file, c_custkey % 997 AS start, c_custkey % 997 + c_custkey % 131 AS stop FROM customer), p AS (SELECT o_orderkey AS place, o_custkey % 25 AS file, o_orderkey % 997 AS a, o_orderkey % 997 + o_orderkey % 5 AS z FROM orders WHERE o_orderkey % 10 = 0) "
+
+
+def _spans(g: Facts) -> tuple[DataFrame, DataFrame]:
+    s = g.table("customer").selectExpr("c_custkey as span", "cast(c_nationkey as long) as file", "c_custkey % 997 as start", "c_custkey % 997 + c_custkey % 131 as stop")
+    p = g.table("orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey as place", "o_custkey % 25 as file", "o_orderkey % 997 as at", "o_orderkey % 997 + o_orderkey % 5 as until")
+    return s, p
+
+
+@_query(_SPANS + "SELECT place, span FROM s JOIN p ON s.file = p.file AND start <= a AND z <= stop")
+def contained_accesses(g: Facts) -> DataFrame:
+    return spans.containing(*_spans(g)).select("place", "span")
+
+
+@_query(_SPANS + "SELECT place, span, file FROM (SELECT place, span, s.file, row_number() OVER (PARTITION BY place ORDER BY start DESC, stop, span) AS k FROM s JOIN p ON s.file = p.file AND start <= a AND z <= stop) WHERE k = 1")
+def owner_of(g: Facts) -> DataFrame:
+    return spans.innermost(*_spans(g))
+
+
+# Concurrency
+
+
+@_query("WITH j AS (SELECT owner, subject, event_id AS spawn, (SELECT arg_min(q.event_id, q.position) FROM points q WHERE q.owner = p.owner AND q.subject = p.subject AND q.type = 'CHECK' AND q.position > p.position) AS joined FROM points p WHERE type = 'ALLOC') SELECT *, joined IS NULL AS detached FROM j", ("points",))
+def thread_lifetimes(g: Facts) -> DataFrame:
+    return concurrency.lifetimes(g.points)
+
+
+@_query("SELECT subject, count(DISTINCT owner) AS owners, count(*) FILTER (WHERE type NOT IN ('WRITE', 'ALLOC', 'RELEASE')) AS reads, count(*) FILTER (WHERE type IN ('WRITE', 'ALLOC', 'RELEASE')) AS writes, count(DISTINCT owner) >= 2 AS may_parallel FROM points GROUP BY subject", ("points",))
+def concurrency_context(g: Facts) -> DataFrame:
+    return concurrency.shared_subjects(g.points)
+
+
+@_query("WITH s AS (SELECT subject, count(DISTINCT owner) AS owners, count(*) FILTER (WHERE type NOT IN ('WRITE', 'ALLOC', 'RELEASE')) AS r, count(*) FILTER (WHERE type IN ('WRITE', 'ALLOC', 'RELEASE')) AS w FROM points GROUP BY subject) SELECT subject, 'shared_state_race' AS scenario, owners FROM s WHERE owners > 1 AND w > 0 UNION ALL SELECT subject, 'read_write_race', owners FROM s WHERE owners > 1 AND w > 0 AND r > 0", ("points",))
+def race_scenarios(g: Facts) -> DataFrame:
+    return concurrency.race_scenarios(g.points)
+
+
+@_query("WITH d AS (SELECT event_id, (SELECT count(*) FROM points q WHERE q.owner = p.owner AND q.subject = p.subject AND q.type = 'WRITE' AND q.position < p.position) AS writers FROM points p WHERE type = 'DEREFERENCE') SELECT *, CASE writers WHEN 0 THEN 'unknown' WHEN 1 THEN 'must' ELSE 'may' END AS target FROM d", ("points",))
+def dereference_resolution(g: Facts) -> DataFrame:
+    return concurrency.dereference_targets(g.points)
+
+
+@_query("SELECT o_custkey % 100 AS profile, CASE max(CASE o_orderpriority[1:1] WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 WHEN '4' THEN 3 ELSE 4 END) WHEN 0 THEN 'current' WHEN 1 THEN 'partial' WHEN 2 THEN 'stale' WHEN 3 THEN 'unsupported' ELSE 'not_built' END AS state FROM orders WHERE o_orderkey % 400 < 3 GROUP BY 1")
+def merged_states(g: Facts) -> DataFrame:
+    state = F.coalesce(*(F.when(F.col("o_orderpriority").startswith(str(k + 1)), F.lit(v)) for k, v in enumerate(concurrency.SEVERITY[:4])), F.lit("not_built"))
+    return concurrency.worst_state(g.table("orders").where("o_orderkey % 400 < 3").select((F.col("o_custkey") % 100).alias("profile"), state.alias("state")), "profile")
+
+
+# Governance
+
+
+@_query("SELECT o_orderkey AS file, r = '' AS fresh, r AS reason FROM (SELECT o_orderkey, concat_ws('+', CASE WHEN o_orderstatus <> 'F' THEN 'status_' || o_orderstatus END, CASE WHEN o_orderkey % 17 = 0 THEN 'missing_base' END, CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 7 = 0 THEN 'hash' END, CASE WHEN o_orderkey % 2 <> 1 THEN 'version' END) AS r FROM orders)")
+def analysis_freshness(g: Facts) -> DataFrame:
+    orders = g.table("orders")
+    states = orders.selectExpr("o_orderkey as file", "if(o_orderstatus = 'F', 'current', o_orderstatus) as status", "o_orderkey % 5 as hash", "o_orderkey % 2 as version")
+    base = orders.where("o_orderkey % 17 <> 0").selectExpr("o_orderkey as file", "if(o_orderkey % 7 = 0, -1L, o_orderkey % 5) as hash")
+    return governance.freshness(states, base, 1)
+
+
+@_query("SELECT c_custkey AS file FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 4 = 0)")
+def uncovered_files(g: Facts) -> DataFrame:
+    return governance.uncovered(g.table("customer").select(F.col("c_custkey").alias("file")), g.table("orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("file")))
+
+
+@_query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def duplicate_ids(g: Facts) -> DataFrame:
+    return governance.duplicates(g.table("part"), "p_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
