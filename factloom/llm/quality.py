@@ -43,6 +43,8 @@ def measures(docs: DataFrame) -> DataFrame:
     met = lambda s, i: ((i > 0) & (F.get(p, i - 1)["h"] == s["h"])) | ((i < last) & (F.get(p, i + 1)["h"] == s["h"]))
     found = twice.withColumn("_r", F.sort_array(F.transform(F.filter(p, met), lambda s: s["i"])))
     start = F.struct(F.lit(0).alias("n"), F.lit(-tx.SHINGLE).alias("at"))
+    # a filter on what is made of the measures must not be pushed below them: it would compute them again for each use
+    apart = F.monotonically_increasing_id() * 0
     covered = F.aggregate("_r", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(tx.SHINGLE), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])
     return found.select(
         *keep,
@@ -50,7 +52,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.col("_c").cast("long").alias("word_chars"),
         _count(t, r"^#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        (covered + apart).cast("long").alias("n_repeat_words"),
     )
 
 
