@@ -82,3 +82,16 @@ def error_handling(points: DataFrame) -> DataFrame:
     """Allocations whose next point of the subject is a use instead of a check."""
     of = W.partitionBy("owner", "subject").orderBy("position")
     return points.withColumn("next", F.lead("type").over(of)).where("type = 'ALLOC' and next = 'DEREFERENCE'").select("owner", "subject", "event_id")
+
+
+def mismatched_free(points: DataFrame, verdict: str) -> DataFrame:
+    """Releases whose newest definition is an allocation that the pair rule ``verdict`` (SQL over a and r) calls a mismatch."""
+    before = W.partitionBy("owner", "subject").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    source = F.last_value(F.when(F.col("type").isin("ALLOC", "WRITE", "RELEASE"), F.struct("event_id", "type")), True).over(before)
+    rows = points.withColumn("source", source).where("type = 'RELEASE' and source.type = 'ALLOC'")
+    return rows.select("owner", "subject", F.col("source.event_id").alias("a"), F.col("event_id").alias("r")).where(F.expr(verdict) == "mismatch")
+
+
+def taint(flows: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Flows from a declared source to a declared sink; both sides keep their names. ``sources(src, source)``, ``sinks(dst, sink)``."""
+    return flows.join(sources, "src").join(sinks, "dst").select("src", "dst", "source", "sink")

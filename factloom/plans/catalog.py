@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids
-from factloom.operators import concurrency, dataflow, defects, evidence, governance, incremental, knowledge, lookup, neighbours, overlay, resolve, shards, spans, traversal
+from factloom.operators import concurrency, contracts, dataflow, defects, evidence, governance, incremental, knowledge, lookup, neighbours, overlay, projection, resolve, shards, spans, traversal
 from factloom.sources.facts import Facts, duckdb_with
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -567,6 +567,90 @@ def duplicate_ids(g: Facts) -> DataFrame:
     return governance.duplicates(g.table("part"), "p_name")
 
 
+# Contracts
+
+
+@_query("SELECT file, owner_id AS owner, start_line AS line, min(raw_name) AS callee FROM raw_references GROUP BY ALL HAVING count(DISTINCT raw_name) = 1", ("raw_references",))
+def agreed_callees(g: Facts) -> DataFrame:
+    calls = g.raw_references.select("file", F.col("owner_id").alias("owner"), F.col("start_line").alias("line"), F.col("raw_name").alias("callee"))
+    return contracts.agreed_callees(calls)
+
+
+_NAMED = "WITH f AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'acquire_' WHEN 1 THEN 'free_' ELSE 'use_' END || replace(p_name, ' ', '_') AS name, p_size % 5 AS subject FROM part) "
+
+
+@_query(_NAMED + ", h AS (SELECT DISTINCT name, subject, split_part(name, '_', 1) AS half, substr(name, strpos(name, '_') + 1) AS stem FROM f) SELECT DISTINCT a.stem, a.name AS acquire, r.name AS release FROM h a JOIN h r USING (stem, subject) WHERE a.half = 'acquire' AND r.half = 'free' AND NOT contains(r.name, '_new_')")
+def acquire_release_pairs(g: Facts) -> DataFrame:
+    part = g.table("part")
+    return contracts.pairs(g.spark.sql(_NAMED.replace("FROM part", "FROM {part}") + "SELECT name, subject FROM f", part=part))
+
+
+@_query("WITH c AS (SELECT o_orderkey AS site, o_custkey % 50 AS callee, ['a' || (o_orderkey % 3), CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'b' END, 'c'] AS args FROM orders), e AS (SELECT site, callee, unnest(args) AS argument, generate_subscripts(args, 1) - 1 AS ordinal FROM c) SELECT site, callee, ordinal, argument, ['x', 'y', 'z'][ordinal + 1] AS parameter FROM e WHERE argument <> '' AND ordinal < callee % 4 AND callee % 7 <> 0")
+def bind_parameters(g: Facts) -> DataFrame:
+    orders = g.table("orders")
+    calls = orders.selectExpr("o_orderkey as site", "o_custkey % 50 as callee", "array(concat('a', cast(o_orderkey % 3 as string)), if(o_orderkey % 2 = 0, '', 'b'), 'c') as arguments")
+    ids_ = g.spark.range(50).selectExpr("id as callee", "slice(array('x', 'y', 'z'), 1, cast(id % 4 as int)) as params")
+    other = g.spark.range(50).where("id % 7 = 0").selectExpr("id as callee", "array('q') as params")
+    return contracts.bind_parameters(calls, ids_.unionByName(other))
+
+
+@_query("WITH s AS (SELECT l_orderkey * 1000000 + l_partkey * 100 + l_linenumber AS site, n_name AS file, CAST(l_linenumber AS INT) AS line, p_name AS root FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_orderkey % 200 = 0), c AS (SELECT file, start_line AS line, raw_name FROM raw_references WHERE substr(id, 11, 1) = '0') SELECT site, n AS calls, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM (SELECT s.site, CAST(coalesce(sum(CASE WHEN ends_with(lower(raw_name), lower(root)) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n FROM s LEFT JOIN c ON s.file = c.file AND s.line = c.line GROUP BY s.site)", ("raw_references",))
+def merge_external_sites(g: Facts) -> DataFrame:
+    rows = g.table("lineitem").where("l_orderkey % 200 = 0").join(g.table("part"), F.col("l_partkey") == F.col("p_partkey")).join(g.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(g.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(g.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sites = rows.selectExpr("l_orderkey * 1000000 + l_partkey * 100 + l_linenumber as site", "n_name as file", "cast(l_linenumber as int) as line", "p_name as root")
+    calls = g.raw_references.where("substr(id, 11, 1) = '0'").select("file", F.col("start_line").alias("line"), "raw_name")
+    return contracts.merge_sites(sites, calls)
+
+
+@_query("WITH e AS (SELECT s_nationkey AS path, min(s_suppkey) AS position FROM supplier GROUP BY 1) SELECT count(*) AS entries, 'cp:' || sha256(string_agg('lib/' || path || '.jar', chr(10) ORDER BY position)) AS fingerprint FROM e")
+def classpath(g: Facts) -> DataFrame:
+    return contracts.classpath(g.table("supplier").selectExpr("s_suppkey as position", "concat('lib', chr(92), cast(s_nationkey as string), '.jar/') as path"))
+
+
+@_query("WITH w AS (SELECT *, last_value(CASE WHEN type IN ('RELEASE', 'ALLOC', 'WRITE') THEN position END IGNORE NULLS) OVER (PARTITION BY owner, subject ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at_ FROM points) SELECT w.owner, w.subject, s.event_id AS a, w.event_id AS r FROM w JOIN points s ON s.owner = w.owner AND s.position = w.at_ WHERE w.type = 'RELEASE' AND s.type = 'ALLOC' AND s.event_id % 3 <> w.event_id % 3", ("points",))
+def mismatched_free(g: Facts) -> DataFrame:
+    return defects.mismatched_free(g.points, "if(a % 3 = r % 3, 'valid', 'mismatch')")
+
+
+@_query(_FLOW + "SELECT src, dst, 'read' || CAST(src % 5 AS STRING) AS source, 'exec' || CAST(dst % 7 AS STRING) AS sink FROM fl WHERE src % 5 < 2 AND dst % 7 < 3", ("points",))
+def taint_path(g: Facts) -> DataFrame:
+    points = g.points
+    sources = points.where("event_id % 5 < 2").selectExpr("event_id as src", "concat('read', cast(event_id % 5 as string)) as source")
+    sinks = points.where("event_id % 7 < 3").selectExpr("event_id as dst", "concat('exec', cast(event_id % 7 as string)) as sink")
+    return defects.taint(dataflow.flow_edges(points), sources, sinks)
+
+
+# Projection
+
+_CITED = _FLOW + ", ci AS (SELECT dst AS candidate, src AS event_id, 0 AS place FROM fl WHERE flow = 'free_to_use' UNION ALL SELECT dst, dst, 1 FROM fl WHERE flow = 'free_to_use' UNION ALL SELECT dst, -dst, 2 FROM fl WHERE flow = 'free_to_use'), ac AS (SELECT ci.*, p.owner, p.position, p.position IS NOT NULL AS located, CASE WHEN p.type IN ('READ', 'DEREFERENCE', 'CHECK') THEN 'READ' WHEN p.type IN ('WRITE', 'ALLOC', 'RELEASE') THEN 'WRITE' ELSE 'UNKNOWN' END AS kind FROM ci LEFT JOIN points p ON p.event_id = ci.event_id) "
+
+
+def _cited(g: Facts) -> DataFrame:
+    flows = dataflow.flow_edges(g.points).where("flow = 'free_to_use'")
+    return projection.accesses(flows.select(F.col("dst").alias("candidate"), F.array(F.col("src"), F.col("dst"), -F.col("dst")).alias("cited")), g.points)
+
+
+@_query(_CITED + "SELECT candidate, event_id, kind, located FROM ac", ("points",))
+def candidate_accesses(g: Facts) -> DataFrame:
+    return _cited(g).select("candidate", "event_id", "kind", "located")
+
+
+@_query(_CITED + "SELECT candidate, event_id, CASE WHEN NOT located THEN 'unresolved' WHEN place < 2 THEN 'primary' ELSE 'supporting' END AS role, row_number() OVER (PARTITION BY candidate ORDER BY CASE WHEN NOT located THEN 2 WHEN place < 2 THEN 0 ELSE 1 END, place) AS number FROM ac", ("points",))
+def supporting_locations(g: Facts) -> DataFrame:
+    return projection.locations(_cited(g)).select("candidate", "event_id", "role", F.col("number").cast("long").alias("number"))
+
+
+@_query(_CITED + "SELECT CAST(sum(a) AS BIGINT) AS located, CAST(sum(1 - a) AS BIGINT) AS unlocated FROM (SELECT candidate, max(CAST(located AS INT)) AS a FROM ac GROUP BY candidate)", ("points",))
+def location_coverage(g: Facts) -> DataFrame:
+    return projection.coverage(_cited(g))
+
+
+@_query(_CITED + ", hl AS (SELECT a.event_id, l.lock, arg_max(l.type, l.position) AS state FROM locks a JOIN locks l ON l.owner = a.owner AND l.position < a.position AND l.type <> 'ACCESS' WHERE a.type = 'ACCESS' GROUP BY ALL), st AS (SELECT candidate, 0 AS block, place AS k, 'access:' || kind || '@' || position AS step FROM ac WHERE located UNION ALL SELECT DISTINCT candidate, 1, hl.lock, 'lock:' || hl.lock FROM ac JOIN hl ON hl.event_id = ac.event_id AND state = 'LOCK' WHERE located UNION ALL SELECT candidate, 2, place, 'unknown:' || event_id FROM ac WHERE NOT located) SELECT candidate, row_number() OVER (PARTITION BY candidate ORDER BY block, k, step) AS number, step FROM st", ("points", "locks"))
+def trace_chain(g: Facts) -> DataFrame:
+    return projection.trace(_cited(g), dataflow.held_locks(g.locks)).select("candidate", F.col("number").cast("long").alias("number"), "step")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

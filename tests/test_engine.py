@@ -140,3 +140,35 @@ def test_stream_equals_batch(spark, tmp_path):
     seen = []
     increments.generations(increments.first_of_each(stream, "event_id", "ts", "1 day"), lambda df, k: seen.extend(r.event_id for r in df.collect()), f"{tmp_path}/check").awaitTermination(120)
     assert sorted(seen) == sorted(r.event_id for r in events.select("event_id").collect())
+
+
+def test_contract_names(spark):
+    from factloom.operators import contracts
+
+    rows = spark.createDataFrame([("openFile", "(int a, void (*cb)(int, int), char *s = 0)"), ("file_close", "(self, x: dict[str, int] = {}, *args)"), ("lock_release", "(void)"), ("read", None)], "name string, signature string")
+    got = [(r.half, r.stem, r.p) for r in rows.select(contracts.pair_half(F.col("name")).alias("half"), contracts.pair_stem(F.col("name")).alias("stem"), contracts.parameters("signature").alias("p")).collect()]
+    assert got[0][:2] == ("acquire", "file") and got[1] == ("release", "file", ["self", "x", "args"]) and got[2] == (None, None, []) and got[3] == (None, None, [])
+    assert got[0][2][0] == "a" and got[0][2][-1] == "s" and len(got[0][2]) == 3
+
+
+def test_consumed_parameters(spark):
+    from factloom.operators import contracts
+
+    functions = spark.createDataFrame([(1, "f", ["a", "b"]), (2, "f", ["x", "y"]), (3, "g", ["p"]), (4, "g", ["q", "p"])], "owner int, name string, params array<string>")
+    releases = spark.createDataFrame([(1, "b"), (2, "y"), (3, "p"), (4, "p")], "owner int, subject string")
+    assert [(r.name, r.ordinal) for r in contracts.consumed(functions, releases).collect()] == [("f", 1)]
+
+
+def test_verdict(spark):
+    from factloom.operators import contracts
+
+    rows = spark.createDataFrame([("malloc", "free"), ("malloc", "delete"), ("mmap", "free"), ("malloc", "odd")], "a string, r string")
+    rule = contracts.verdict(F.col("a"), F.col("r"), {"malloc": ("free",), "new": ("delete",)})
+    assert [r.v for r in rows.select(rule.alias("v")).collect()] == ["valid", "mismatch", "unknown", "unknown"]
+
+
+def test_bindings_are_whole(spark):
+    from factloom.operators import projection
+
+    located = spark.createDataFrame([(1,), (2,)], "candidate int")
+    assert {(r.candidate, r.side) for r in projection.unbound(located, spark.createDataFrame([(2,), (3,)], "candidate int")).collect()} == {(1, "location"), (3, "candidate")}
