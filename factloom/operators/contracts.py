@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that mark the halves of a pair; fixed values.
 ACQUIRE = ("acquire", "alloc", "create", "open", "init", "lock", "begin", "new", "get", "start")
@@ -42,35 +45,41 @@ def pairs(functions: DataFrame) -> DataFrame:
     return a.join(rows.where("half = 'release'").select("stem", "subject", F.col("name").alias("release")), ["stem", "subject"]).select("stem", "acquire", "release").distinct()
 
 
-@F.pandas_udf("array<string>")
-def parameters(signature: pd.Series) -> pd.Series:
-    """Names of the parameters of a signature: split at commas outside brackets, last identifier of each, no defaults."""
-
-    def split(text: str | None) -> list[str]:
-        inner = (text or "").strip()
-        start = inner.find("(")
-        depth, part, out = 0, "", []
-        for c in inner[start + 1 :] if start >= 0 else "":
-            if c in "([{<":
-                depth += 1
-            elif c in ")]}>":
-                if depth == 0:
-                    break
-                depth -= 1
-            if c == "," and depth == 0:
-                out.append(part)
-                part = ""
-            else:
-                part += c
-        out.append(part)
-        names = []
-        for p in out:
-            name = "".join(ch if ch.isalnum() or ch == "_" else " " for ch in p.split("=")[0].split(":")[0].split("[")[0]).split()
-            if name and name[-1] != "void":
-                names.append(name[-1])
-        return names
-
-    return signature.map(split)
+def _split(text: str | None) -> list[str]:
+    inner = (text or "").strip()
+    start = inner.find("(")
+    depth, part, out = 0, "", []
+    for c in inner[start + 1 :] if start >= 0 else "":
+        if c in "([{<":
+            depth += 1
+        elif c in ")]}>":
+            if depth == 0:
+                break
+            depth -= 1
+        if c == "," and depth == 0:
+            out.append(part)
+            part = ""
+        else:
+            part += c
+    out.append(part)
+    names = []
+    for p in out:
+        bare = p.split("=")[0].split(":")[0].split("[")[0]
+        pointer = re.search(r"\(\s*\*\s*(\w+)\s*\)", bare)
+        found = [pointer[1]] if pointer else re.findall(r"\w+", bare)
+        if found and found[-1] != "void":
+            names.append(found[-1])
+    return names
+
+
+def parameters(signature: Column | str) -> Column:
+    """Names of the parameters of a signature: split at commas outside brackets, last identifier of each (of a function
+    pointer the name it points from), without defaults."""
+
+    def split(values: pd.Series) -> pd.Series:
+        return values.map(_split)
+
+    return F.pandas_udf(split, T.ArrayType(T.StringType()))(signature)
 
 
 def consumed(functions: DataFrame, releases: DataFrame) -> DataFrame:
