@@ -172,3 +172,41 @@ def test_bindings_are_whole(spark):
 
     located = spark.createDataFrame([(1,), (2,)], "candidate int")
     assert {(r.candidate, r.side) for r in projection.unbound(located, spark.createDataFrame([(2,), (3,)], "candidate int")).collect()} == {(1, "location"), (3, "candidate")}
+
+
+CPP = """#include "api.hpp"
+namespace demo {
+class Widget : public Base {
+ public:
+  int run(int n) { return helper(n) + obj->call(n); }
+};
+}
+int demo::Widget::stop() { /* not(this) */ const char* s = "nor(this)"; if (ok()) { go(); } return 0; }
+int main(void)
+{
+    demo::start(1);
+}
+"""
+JAVA = "import java.util.List;\nclass A implements B {\n  int f(int x) { return this.g(x) + new C(x).h(); }\n}\n"
+
+
+def test_scope_scanner():
+    from factloom.sources import syntax
+
+    symbols, references = syntax.scan_braces(CPP)
+    assert [(s["kind"], s["qualified_name"]) for s in symbols] == [("Namespace", "demo"), ("Class", "demo.Widget"), ("Method", "demo.Widget.run"), ("Method", "demo.Widget.stop"), ("Function", "main")]
+    assert {(r["owner"], r["raw_name"], r["call_kind"]) for r in references if r["type"] == "CALLS"} == {("demo.Widget.run", "helper", "direct"), ("demo.Widget.run", "call", "indirect"), ("demo.Widget.stop", "ok", "direct"), ("demo.Widget.stop", "go", "direct"), ("main", "demo.start", "direct")}
+    symbols, references = syntax.scan_braces(JAVA, java=True)
+    assert [s["qualified_name"] for s in symbols] == ["A", "A.f"] and {r["raw_name"] for r in references} >= {"java.util.List", "g", "C", "h"}
+
+
+def test_syntax_rows(spark, tmp_path):
+    from factloom.sources import syntax
+
+    (tmp_path / "a.py").write_text("def f(x):\n    return x + 1\n")
+    (tmp_path / "b.c").write_text("int f(int x) { return g(x); }")
+    files = repository.scan(spark, str(tmp_path))
+    rows = syntax.python_syntax(files).collect()
+    known = {r.node_id for r in rows}
+    assert len(known) == len(rows) and sum(r.parent_id is None for r in rows) == 1 and all(r.parent_id in known for r in rows if r.parent_id)
+    assert syntax.parse_braces(files).first().references[0].raw_name == "g"
