@@ -359,8 +359,8 @@ def one_of_each(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
     Of rows that repeat that doc_id with the same text one stays; rows without an id stay only in classes of their own.
     """
     gone = jaccard_join(docs, paths).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(scratch.stored(gone, "near-duplicates").hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+    gone = scratch.stored(gone, "near-duplicates")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 SQL = r"""

@@ -44,17 +44,17 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, leas
     its text is then empty. Input columns named n_lines or n_dropped are replaced. Texts are not shuffled unless the
     boilerplate of all hosts is more than ``BROADCAST_LINES`` lines.
     """
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in {"n_lines", "n_dropped", "_host", "_bad"}))
     bad = scratch.stored(boilerplate(docs, host, ratio, least_pages), "boilerplate")
     size = bad.agg(F.coalesce(F.sum(F.size("_bad")), F.lit(0))).collect()[0][0]
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    joined = docs.withColumn("_host", site).join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, "_host", "left")
+    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"), "text", site.alias("_host"))
+    joined = whole.join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, "_host", "left")
     all_lines = tx.lines(F.col("text"))
     stay = F.when(F.col("_bad").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~(F.array_contains("_bad", _key(x)) & x.rlike(tx.WORD))))
     cut = joined.withColumn("_stay", stay)
     text = F.when(F.col("text").isNotNull(), F.array_join("_stay", "\n")).alias("text")
     return cut.select(
-        *(text if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        *(text if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")),
         F.size(all_lines).cast("long").alias("n_lines"),
         (F.size(all_lines) - F.size("_stay")).cast("long").alias("n_dropped"),
     )

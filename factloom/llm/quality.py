@@ -128,17 +128,19 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, base:
     gives an empty result; repeated rows are judged each. Input columns named like an output column are replaced.
     """
     rules = list(default_rules() if rules is None else rules)
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_w", "_l", "_h", "_n", "_c", "_p", "_r"}
-    rows = measures(docs.drop(*(c for c in docs.columns if c.lower() in made)))
-    needed = rows.select("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = measures(docs.select("text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row")))
+    needed = rows.drop("_row")
     ordered = [p.rule for p in profile(needed, rules)] if len(rules) > 1 else rules
     judged = rows.withColumn("base_failed", F.expr(base))
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict(ordered).isNull())
+    judged = judged.withColumn("kept", ~F.col("base_failed") & verdict(ordered).isNull())
+    return judged.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in made), *made)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the cascade keeps, with their own columns."""
-    return quality_cascade(docs).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    whole = docs.select("text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("document"))
+    return quality_cascade(whole).where("kept").select("document.*")
 
 
 _RULES_SQL = """

@@ -68,6 +68,12 @@ def test_quality_measures(docs, texts):
     assert got[8].kept and not got[17].kept and not got[18].kept
 
 
+def test_filters_keep_clashing_columns(docs):
+    kept = quality.kept_documents(docs)
+    assert kept.columns == docs.columns and {(r.n_words, r._w, r.kept) for r in kept.collect()} == {(7, 1, "x")}
+    assert {r._w for r in line_dedup.line_dedup(docs).collect()} == {1}
+
+
 def test_quality_order_does_not_change_the_verdict(docs):
     rules = quality.default_rules()
     some = [sorted((r.doc_id, r.kept) for r in quality.quality_cascade(docs, x).select("doc_id", "kept").collect()) for x in (rules, rules[::-1])]
