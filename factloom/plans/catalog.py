@@ -498,12 +498,12 @@ def link_documents(g: Facts) -> DataFrame:
 
 # Spans
 
-_SPANS = "WITH s AS (SELECT c_custkey AS span, c_nationkey AS file, c_custkey % 997 AS start, c_custkey % 997 + c_custkey % 131 AS stop FROM customer), p AS (SELECT o_orderkey AS place, o_custkey % 25 AS file, o_orderkey % 997 AS a, o_orderkey % 997 + o_orderkey % 5 AS z FROM orders WHERE o_orderkey % 10 = 0) "
+_SPANS = "WITH s AS (SELECT c_custkey AS span, CAST(floor(c_custkey / 60.0) AS BIGINT) AS file, c_custkey * 7 % 997 AS start, c_custkey * 7 % 997 + c_custkey % 131 AS stop FROM customer), p AS (SELECT o_orderkey AS place, CAST(floor(o_custkey / 60.0) AS BIGINT) AS file, o_orderkey % 997 AS a, o_orderkey % 997 + o_orderkey % 5 AS z FROM orders) "
 
 
 def _spans(g: Facts) -> tuple[DataFrame, DataFrame]:
-    s = g.table("customer").selectExpr("c_custkey as span", "cast(c_nationkey as long) as file", "c_custkey % 997 as start", "c_custkey % 997 + c_custkey % 131 as stop")
-    p = g.table("orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey as place", "o_custkey % 25 as file", "o_orderkey % 997 as at", "o_orderkey % 997 + o_orderkey % 5 as until")
+    s = g.table("customer").selectExpr("c_custkey as span", "c_custkey div 60 as file", "c_custkey * 7 % 997 as start", "c_custkey * 7 % 997 + c_custkey % 131 as stop")
+    p = g.table("orders").selectExpr("o_orderkey as place", "o_custkey div 60 as file", "o_orderkey % 997 as at", "o_orderkey % 997 + o_orderkey % 5 as until")
     return s, p
 
 
@@ -540,10 +540,10 @@ def dereference_resolution(g: Facts) -> DataFrame:
     return concurrency.dereference_targets(g.points)
 
 
-@_query("SELECT o_custkey % 100 AS profile, CASE max(CASE o_orderpriority[1:1] WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 WHEN '4' THEN 3 ELSE 4 END) WHEN 0 THEN 'current' WHEN 1 THEN 'partial' WHEN 2 THEN 'stale' WHEN 3 THEN 'unsupported' ELSE 'not_built' END AS state FROM orders WHERE o_orderkey % 400 < 3 GROUP BY 1")
+@_query("SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS profile, CASE max(CASE o_orderpriority[1:1] WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 WHEN '4' THEN 3 ELSE 4 END) WHEN 0 THEN 'current' WHEN 1 THEN 'partial' WHEN 2 THEN 'stale' WHEN 3 THEN 'unsupported' ELSE 'not_built' END AS state FROM orders GROUP BY 1")
 def merged_states(g: Facts) -> DataFrame:
     state = F.coalesce(*(F.when(F.col("o_orderpriority").startswith(str(k + 1)), F.lit(v)) for k, v in enumerate(concurrency.SEVERITY[:4])), F.lit("not_built"))
-    return concurrency.worst_state(g.table("orders").where("o_orderkey % 400 < 3").select((F.col("o_custkey") % 100).alias("profile"), state.alias("state")), "profile")
+    return concurrency.worst_state(g.table("orders").select(F.expr("o_orderkey div 3").alias("profile"), state.alias("state")), "profile")
 
 
 # Governance
@@ -594,13 +594,11 @@ def bind_parameters(g: Facts) -> DataFrame:
     return contracts.bind_parameters(calls, ids_.unionByName(other))
 
 
-@_query("WITH s AS (SELECT l_orderkey * 1000000 + l_partkey * 100 + l_linenumber AS site, n_name AS file, CAST(l_linenumber AS INT) AS line, p_name AS root FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_orderkey % 200 = 0), c AS (SELECT file, start_line AS line, raw_name FROM raw_references WHERE substr(id, 11, 1) = '0') SELECT site, n AS calls, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM (SELECT s.site, CAST(coalesce(sum(CASE WHEN ends_with(lower(raw_name), lower(root)) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n FROM s LEFT JOIN c ON s.file = c.file AND s.line = c.line GROUP BY s.site)", ("raw_references",))
+@_query("SELECT site, n AS calls, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state FROM (SELECT s.id AS site, CAST(coalesce(sum(CASE WHEN ends_with(lower(c.raw_name), lower(s.raw_name)) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n FROM raw_references s LEFT JOIN raw_references c ON c.call_kind = 'direct' AND s.owner_id = c.owner_id AND s.start_line = c.start_line GROUP BY s.id)", ("raw_references",))
 def merge_external_sites(g: Facts) -> DataFrame:
-    rows = g.table("lineitem").where("l_orderkey % 200 = 0").join(g.table("part"), F.col("l_partkey") == F.col("p_partkey")).join(g.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(g.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(g.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    sites = rows.selectExpr("l_orderkey * 1000000 + l_partkey * 100 + l_linenumber as site", "n_name as file", "cast(l_linenumber as int) as line", "p_name as root")
-    calls = g.raw_references.where("substr(id, 11, 1) = '0'").select("file", F.col("start_line").alias("line"), "raw_name")
-    return contracts.merge_sites(sites, calls)
+    rows = g.raw_references
+    sites = rows.select(F.col("id").alias("site"), F.col("owner_id").alias("file"), F.col("start_line").alias("line"), F.upper("raw_name").alias("root"))
+    return contracts.merge_sites(sites, rows.where("call_kind = 'direct'").select(F.col("owner_id").alias("file"), F.col("start_line").alias("line"), "raw_name"))
 
 
 @_query("WITH e AS (SELECT s_nationkey AS path, min(s_suppkey) AS position FROM supplier GROUP BY 1) SELECT count(*) AS entries, 'cp:' || sha256(string_agg('lib/' || path || '.jar', chr(10) ORDER BY position)) AS fingerprint FROM e")
