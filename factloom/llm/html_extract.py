@@ -124,13 +124,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 continue
             if nodes[stack[-1]].tag in ("p", *_HEADINGS) and name not in ("hr",):
                 stack.pop()
-            for tag in (_CLOSES.get(name, ()),):
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag in tag:
-                        del stack[k:]
-                        break
-                    if nodes[stack[k]].tag in _SCOPES and nodes[stack[k]].tag not in ("td", "th"):
-                        break
+            for k in range(len(stack) - 1, 0, -1):
+                if nodes[stack[k]].tag in _CLOSES.get(name, ()):
+                    del stack[k:]
+                    break
+                if nodes[stack[k]].tag in _SCOPES and nodes[stack[k]].tag not in ("td", "th"):
+                    break
             if name == "hr":
                 continue
             parent = nodes[stack[-1]]
