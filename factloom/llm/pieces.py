@@ -50,7 +50,7 @@ class Pieces:
             raise ValueError("a piece crosses a word mark; words can't be encoded apart")
         self.longest = max(map(len, self.score), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = TwoGenerations(self.encode_words, 300_000)
+        self.words = TwoGenerations(self.encode_words, 200_000)
 
     def merged(self, text: str) -> list[str]:
         """Pieces that the merges leave of a short text: the best scored neighbours first, the leftmost of equals."""
@@ -70,7 +70,7 @@ class Pieces:
         """Whether ``right`` can follow ``left`` on a best path."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
