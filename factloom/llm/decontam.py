@@ -69,18 +69,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id, item_id, start and n_words of the best window (from word 0; the earliest of equals), shared and total
     shingle weight, similarity = shared / total, at least 0.8. Weights are how often a five-word shingle occurs.
     A document shorter than an item is one window. Null and empty texts, texts and items of fewer than five words
-    match nothing. Rows with equal doc_id (or null ones) are looked at together and give one row for each item.
-    Other columns are ignored. Documents are read twice; their texts are shuffled only if more documents than can be
+    match nothing. Rows with equal ids (or none) are looked at each for itself; those that repeat id and text give one
+    row for each item. Other columns are ignored. Documents are read twice; their texts are shuffled only if more documents than can be
     broadcast hold windows to look at.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "doc_id", "text")
+    return _row_leaks(docs, benchmark).drop("key")
+
+
+def _row_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The leaks, each with the row key of its document."""
+    docs = docs.select(tx.row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
     items = scratch.stored(benchmark_items(benchmark), "benchmark-items")
     wanted = _small(_windows(docs, items), "windows")
-    texts = docs.join(wanted, "key").select("doc_id", "starts", _words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    each = texts.select("doc_id", "w", "n", F.explode("starts").alias("s")).select("doc_id", "w", "n", "s.width", "s.start")
+    texts = docs.join(wanted, "key").select("key", "doc_id", "starts", _words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    each = texts.select("key", "doc_id", "w", "n", F.explode("starts").alias("s")).select("key", "doc_id", "w", "n", "s.width", "s.start")
     span = F.least(F.col("width"), F.col("n")) - F.lit(tx.SHINGLE)
     each = each.where((F.col("start") + F.least("width", "n") <= F.col("n")) & (F.col("n") >= tx.SHINGLE))
-    hashed = each.select("doc_id", "width", "start", F.least("width", "n").alias("n_words"), F.transform(F.sequence(F.col("start"), F.col("start") + span), lambda i: tx.shingle_hash(F.col("w"), i)).alias("hashes"))
+    hashed = each.select("key", "doc_id", "width", "start", F.least("width", "n").alias("n_words"), F.transform(F.sequence(F.col("start"), F.col("start") + span), lambda i: tx.shingle_hash(F.col("w"), i)).alias("hashes"))
     printed = hashed.withColumn("print", F.expr(_FINGERPRINT))
     blocks = printed.withColumn("block", F.explode(F.array(*map(F.lit, range(BLOCKS)))))
     value = "CAST(shiftrightunsigned(print, 8 * block) & 255L AS INT)"
@@ -98,14 +103,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = F.expr("aggregate(array_intersect(hashes, item_hashes), 0, (a, h) -> a + least(size(filter(hashes, x -> x = h)), size(filter(item_hashes, x -> x = h))))")
     total = F.size("hashes") + F.size("item_hashes") - F.col("shared")
     sure = pair.withColumn("shared", shared).withColumn("total", total).where(10 * F.col("shared") >= TENTHS * F.col("total"))
-    best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "shared", "total")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), *(F.col(f"b.{c}").cast("long").alias(c) for c in ("n_words", "shared", "total")), F.col("b.similarity").alias("similarity"))
+    best = sure.groupBy("key", "doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "shared", "total")).alias("b"))
+    return best.select("key", "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), *(F.col(f"b.{c}").cast("long").alias(c) for c in ("n_words", "shared", "total")), F.col("b.similarity").alias("similarity"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
-    bad = _small(leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(-1)).alias("_leaks")).distinct(), "leaking-documents")
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(-1)) == bad["_leaks"], "left_anti")
+    bad = _small(_row_leaks(docs, benchmark).select(F.col("key").alias("_leaks")).distinct(), "leaking-documents")
+    return docs.join(bad, tx.row_key(docs["doc_id"], docs["text"]) == bad["_leaks"], "left_anti")
 
 
 SQL = r"""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import scratch
+from factloom.llm import text as tx
 
 _U = np.uint64
 #: Odd multipliers of the words of a shingle, by place.
@@ -88,7 +89,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, paths: Paths) -> DataFrame:
-    """doc_id, digest of the shingle set, its size, and the tokens that it chooses (slot = run * levels + level)."""
+    """doc_id, row key, digest of the shingle set, its size, and the tokens that it chooses (slot = run * levels + level)."""
     slots = paths.runs * paths.levels
     seeds = _mix(np.arange(1, slots + 1, dtype=_U) * _PLACES[0])
 
@@ -113,11 +114,12 @@ def sketches(docs: DataFrame, paths: Paths) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sets)))]).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(slot[order]), pa.array(token[order].view(np.int64))], ["slot", "token"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(cut), pairs)],
-                    ["doc_id", "digest", "size", "chosen"],
+                    [part.column("doc_id"), part.column("row"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(size), pa.ListArray.from_arrays(pa.array(cut), pairs)],
+                    ["doc_id", "row", "digest", "size", "chosen"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, digest binary, size long, chosen array<struct<slot:int,token:long>>")
+    keyed = docs.select("doc_id", tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    return keyed.mapInArrow(sketch, "doc_id long, row binary, digest binary, size long, chosen array<struct<slot:int,token:long>>")
 
 
 def _buckets(classes: DataFrame, paths: Paths) -> DataFrame:
@@ -302,26 +304,19 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def jaccard_join(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
-    """Near-duplicate class and links of every row of ``docs(doc_id, text)``.
-
-    doc_id; class_id, the least doc_id of all documents that links connect with it; copy_of, the least doc_id with
-    the same shingle set; n_links, other documents whose shingle sets have Jaccard similarity 0.8 or more with its
-    own (copies included); n_text_links, the same in different sets. Copies are joined as one set, so they are never
-    paired. Documents without a word link with nothing and are their own class. Null ids are left out of class_id and
-    copy_of unless nothing else is in the class. Repeated rows are copies. Other columns are ignored. Every link
-    between documents that share a bucket is found; ``Paths.recall`` bounds the chance to share one at the threshold.
-    """
+def _classified(docs: DataFrame, paths: Paths | None) -> DataFrame:
+    """Every row of ``docs`` with its row key, set, links, and the least row (id, then key; no id last) of its copies and of its class."""
     paths = paths or Paths()
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = scratch.stored(sketches(docs, paths), "sketches")
     some = drawn.where("size > 0")
-    counted = scratch.stored(some.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies")), "set-classes")
-    first = some.join(counted.hint("shuffle_hash"), "digest").where(F.col("doc_id").eqNullSafe(F.col("copy_of"))).select("digest", "chosen").dropDuplicates(["digest"])
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")
+    counted = scratch.stored(some.groupBy("digest").agg(lead, F.count(F.lit(1)).alias("copies")), "set-classes")
+    first = some.join(counted.hint("shuffle_hash"), "digest").where(F.col("row") == F.col("lead.row")).select("digest", "chosen").dropDuplicates(["digest"])
     members = _buckets(scratch.stored(first, "set-paths"), paths)
     needed = _places(members, paths).join(counted, "digest")
-    needed = scratch.stored(needed.select(F.coalesce("copy_of", F.lit(-1)).alias("key"), F.col("digest").alias("wanted"), "copies", "buckets", "places"), "wanted-sets")
+    needed = scratch.stored(needed.select(F.col("lead.row").alias("key"), F.col("digest").alias("wanted"), "copies", "buckets", "places"), "wanted-sets")
     width = paths.width
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,34 +328,53 @@ def jaccard_join(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
                 made = pa.RecordBatch.from_arrays([part.column("wanted"), *(part.column(c) for c in ("copies", "buckets", "places")), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "copies", "buckets", "places", "tokens"])
                 yield made.filter(same)
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "text").join(needed.hint("shuffle_hash"), "key")
+    texts = docs.select(tx.row_key(F.col("doc_id"), F.col("text")).alias("key"), "text").join(needed.hint("shuffle_hash"), "key")
     schema = "digest binary, copies long, buckets array<long>, places array<struct<bucket:long,i:int,j:int,block:int>>, tokens binary"
     sets = texts.select("wanted", "copies", "buckets", "places", "text").mapInArrow(again, schema)
     found = scratch.stored(_linked(sets, paths, partitions), "links")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     groups = scratch.stored(components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))), "components")
     labelled = counted.join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = labelled.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    classes = scratch.stored(labelled.join(least, "component").join(links, "digest", "left").select("digest", "class_id", "copy_of", "copies", "links", "documents"), "classes")
-    rows = drawn.select("doc_id", "size", "digest").join(classes, "digest", "left")
+    least = labelled.groupBy("component").agg(F.min("lead").alias("least"))
+    classes = scratch.stored(labelled.join(least, "component").join(links, "digest", "left").select("digest", "least", "lead", "copies", "links", "documents"), "classes")
+    return drawn.select("doc_id", "row", "size", "digest").join(classes, "digest", "left")
+
+
+def jaccard_join(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
+    """Near-duplicate class and links of every row of ``docs(doc_id, text)``.
+
+    doc_id; class_id, the least doc_id of all documents that links connect with it; copy_of, the least doc_id with
+    the same shingle set; n_links, other documents whose shingle sets have Jaccard similarity 0.8 or more with its
+    own (copies included); n_text_links, the same in different sets. Copies are joined as one set, so they are never
+    paired. Documents without a word link with nothing and are their own class. Null ids are left out of class_id and
+    copy_of unless nothing else is in the class. Repeated rows are copies. Other columns are ignored. Every link
+    between documents that share a bucket is found; ``Paths.recall`` bounds the chance to share one at the threshold.
+    """
     linked = F.when(F.col("size") > 0, F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).otherwise(F.lit(0))
-    return rows.select(
+    return _classified(docs, paths).select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("copy_of", "doc_id").alias("copy_of"),
+        F.coalesce("least.doc_id", "doc_id").alias("class_id"),
+        F.coalesce("lead.doc_id", "doc_id").alias("copy_of"),
         linked.cast("long").alias("n_links"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"),
     )
 
 
 def one_of_each(docs: DataFrame, paths: Paths | None = None) -> DataFrame:
-    """One document of each near-duplicate class of ``docs``, the one with the least doc_id, with all its columns.
+    """One row of each near-duplicate class of ``docs``, the one with the least doc_id, with all its columns.
 
-    Of rows that repeat that doc_id with the same text one stays; rows without an id stay only in classes of their own.
+    A null id comes after all others, and of equal ids the row with the least key of id and text stays. Of rows that
+    repeat both, any one stays. Rows without a word are classes of their own and all stay.
     """
-    gone = jaccard_join(docs, paths).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = scratch.stored(gone, "near-duplicates")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    held = _classified(docs, paths).where("size > 0").groupBy("row").agg(F.max(F.col("row") == F.col("least.row")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = scratch.stored(held.where("NOT stays OR n > 1").select(F.col("row").alias("_row"), "stays"), "near-duplicates")
+    keyed = docs.select(F.struct("*").alias("_all"), tx.row_key(F.col("doc_id"), F.col("text")).alias("_row"))
+    kept = keyed.join(marks.select("_row").hint("shuffle_hash"), "_row", "left_anti").select("_all")
+    again = marks.where("stays").select("_row")
+    if not again.isEmpty():  # rows that stand several times
+        once = keyed.join(again.hint("shuffle_hash"), "_row", "left_semi").groupBy("_row").agg(F.first("_all").alias("_all"))
+        kept = kept.unionByName(once.select("_all"))
+    return kept.select("_all.*")
 
 
 SQL = r"""

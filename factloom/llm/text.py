@@ -16,6 +16,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that rows share only if they have the same id (or none) and the same text; a null text is an empty one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
 def shingle_hash(array: Column, i: Column, width: int = SHINGLE) -> Column:
     """64-bit hash of ``width`` neighbouring words from position ``i`` on."""
     return F.xxhash64(*(F.get(array, i + k) for k in range(width)))

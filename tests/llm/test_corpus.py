@@ -283,6 +283,30 @@ def test_null_and_repeated_ids(spark, texts):
         assert df.count() == 4
 
 
+def test_one_of_each_decides_by_row(spark):
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = one.replace("a39", "zz")
+    rows = [(None, one), (None, near), (None, two), (7, three), (7, three), (8, three), (8, four), (-1, "alone " + four.replace("d", "e")), (None, ""), (None, None), (5, two), (None, "v w x y z"), (None, "v w x y z")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _row int, row int")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(repr, (x for x in got if x[1] not in (one, near)))) == sorted(map(repr, [(7, three), (8, four), (-1, "alone " + four.replace("d", "e")), (None, ""), (None, None), (5, two), (None, "v w x y z")]))
+    assert sum(x[1] in (one, near) for x in got) == 1
+
+
+def test_clean_documents_decides_by_row(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    clean = [" ".join(f"{x}{k}" for k in range(40)) for x in "abc"]
+    half = [" ".join(item.split()[:16] + clean[0].split()), " ".join(clean[1].split()[:14] + item.split()[14:])]
+    rows = [(None, "pre " + item), (None, clean[0]), (-1, clean[1]), (4, item), (4, item), (4, clean[2]), (None, half[0]), (None, half[1]), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(r.doc_id, r.text) for r in decontam.clean_documents(docs, bench).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [x for x in rows if item not in (x[1] or "")]))
+    assert sorted((r.doc_id or 0, r.start) for r in decontam.leaks(docs, bench).collect()) == [(0, 1), (4, 0)]
+
+
 SF = "/root/testdata/sf0.001"
 
 
