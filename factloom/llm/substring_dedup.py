@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import scratch
+from factloom.llm import text as tx
 
 #: Words a unit needs to count as a passage; shorter lines repeat by chance.
 LEAST_WORDS = 5
 
-_UNITS = "doc_id long, unit int, start long, stop long, digest binary"
+_UNITS = "doc_id long, row binary, head boolean, unit int, start long, stop long, digest binary"
 
 
 def units(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n") -> DataFrame:
-    """A row for each unit of ``docs(doc_id, text)`` with enough words: its number, its place in code points, its digest.
+    """A row for each unit of ``docs(doc_id, text)`` with enough words: its row key, whether it is the first of its row, its number, its place in code points, its digest.
 
     A unit is what stands between separators (a line; with two line feeds a paragraph). It is normalised by case
     folding and by turning white space into single spaces; the digest is 128 bits of the normalised unit.
@@ -26,45 +27,36 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                start = 0
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+                start, head = 0, True
                 for k, unit in enumerate((text or "").split(separator)):
                     words = unit.casefold().split()
                     if len(words) >= least_words:
-                        for column, value in zip(out, (doc, k, start, start + len(unit), xxhash.xxh3_128_digest(" ".join(words).encode())), strict=True):
+                        for column, value in zip(out, (doc, row, head, k, start, start + len(unit), xxhash.xxh3_128_digest(" ".join(words).encode())), strict=True):
                             column.append(value)
+                        head = False
                     start += len(unit) + len(separator)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "unit", "start", "stop", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "row", "head", "unit", "start", "stop", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _UNITS)
+    return docs.select("doc_id", tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text").mapInArrow(cut, _UNITS)
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n") -> DataFrame:
-    """Units that have to go: those whose digest occurs at a lesser (doc_id, place) too. Null ids rank last.
+def repeats(found: DataFrame) -> DataFrame:
+    """Units of ``found`` (stored units) that have to go: those whose digest occurs at a lesser place too.
 
-    The first occurrence and the count of a digest are found with partial sums before the shuffle and stored; the
-    units then meet the digests that repeat in a join that Spark can split for a digest with any share of the rows.
+    Places are ordered by doc_id (null ids last), row key and unit. The first occurrence and the count of a digest are
+    found with partial sums before the shuffle and stored; the units then meet the digests that repeat in a join that
+    Spark can split for a digest with any share of the rows.
     """
-    found = scratch.stored(units(docs, least_words, separator), "units")
-    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("unit")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    late = found.join(scratch.stored(first, "first-units"), "digest").where(rank > F.col("first"))
-    return late.select("doc_id", "unit", "start", "stop")
-
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "unit")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    late = found.join(scratch.stored(first, "first-units"), "digest").where(place > F.col("first"))
+    return late.select("row", "unit", "start", "stop")
 
-def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n") -> DataFrame:
-    """``docs(doc_id, text)`` without repeated units: doc_id, text, n_removed, chars_removed, spans.
 
-    ``spans`` lists the start and end of each removed unit in the original text, in code points, as "a-b,c-d" in
-    order of place. Every row of ``docs`` comes back; a null or empty text has no units. doc_id is taken as a key: of
-    rows with equal ids that hold the same unit at the same place each keeps what the earliest keeps. Other columns
-    are ignored. The texts move once, to meet their spans.
-    """
-    late = repeats(docs, least_words, separator)
-    place = F.struct("start", "stop", "unit")
-    spans = late.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_key")).agg(F.array_sort(F.collect_set(place)).alias("_gone"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), "doc_id", "text").join(spans, "_key", "left")
+def _without(rows: DataFrame, separator: str) -> DataFrame:
+    """``rows(doc_id, text, _gone)`` without the units in ``_gone``."""
     parts = F.split("text", separator.replace("\n", "\\n"), -1)
     gone = F.transform("_gone", lambda s: s["unit"])
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), separator))
@@ -77,6 +69,33 @@ def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, separator:
     )
 
 
+def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, separator: str = "\n") -> DataFrame:
+    """``docs(doc_id, text)`` without repeated units: doc_id, text, n_removed, chars_removed, spans.
+
+    ``spans`` lists the start and end of each removed unit in the original text, in code points, as "a-b,c-d" in
+    order of place. Every row of ``docs`` comes back; a null or empty text has no units. Each row loses its own late
+    units only, whatever its id: rows with equal ids or none are told apart by their text, and of rows that repeat
+    both one is the first and the others lose all their units. Other columns are ignored. The texts move once, to
+    meet their spans.
+    """
+    found = scratch.stored(units(docs, least_words, separator), "units")
+    place = F.array_sort(F.collect_set(F.struct("start", "stop", "unit")))
+    spans = repeats(found).groupBy(F.col("row").alias("_row")).agg(place.alias("_gone"))
+    keyed = docs.select(tx.row_key(F.col("doc_id"), F.col("text")).alias("_row"), "doc_id", "text")
+    heads = found.where("head").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = scratch.stored(heads, "repeated-rows")
+    if again.isEmpty():
+        return _without(keyed.join(spans, "_row", "left"), separator)
+    marks = again.select(F.col("row").alias("_row"), "n")
+    spans = scratch.stored(spans, "spans")
+    single = keyed.join(marks, "_row", "left_anti").join(spans, "_row", "left").select("doc_id", "text", "_gone")
+    whole = found.join(again.select("row"), "row", "left_semi").groupBy(F.col("row").alias("_row")).agg(place.alias("_all"))
+    once = keyed.join(marks, "_row", "left_semi").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_copy")
+    many = once.join(marks, "_row").join(whole, "_row").join(spans, "_row", "left").select("doc_id", "text", "_gone", "_all", copies)
+    return _without(single.unionByName(many.select("doc_id", "text", F.when(F.col("_copy") == 1, F.col("_gone")).otherwise(F.col("_all")).alias("_gone"))), separator)
+
+
 _SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM {docs}),
 u AS (SELECT *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS k,

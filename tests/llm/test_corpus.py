@@ -113,6 +113,16 @@ def test_substring_dedup(docs, texts):
     assert got == want
 
 
+def test_substring_dedup_decides_by_row(spark):
+    line = "one line of exactly six words"
+    own = [f"a line of row {k} on its own" for k in range(6)]
+    rows = [(None, f"{own[0]}\n{line}\nend"), (None, f"{own[1]}\n{own[2]}"), (None, f"top\n{line}"), (3, line), (3, f"x\n{own[3]}"), (-1, f"{own[4]}\n{own[5]}"), (9, "same row of five words\nend"), (9, "same row of five words\nend"), (9, "same row of five words\nend"), (None, None), (None, None)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, f"{own[0]}\nend", 1), (None, rows[1][1], 0), (None, "top", 1), (3, line, 0), (3, rows[4][1], 0), (-1, rows[5][1], 0), (9, rows[6][1], 0), (9, "end", 1), (9, "end", 1), (None, None, 0), (None, None, 0)]
+    assert sorted(repr((r.doc_id, r.text, r.n_removed)) for r in got) == sorted(map(repr, want))
+    assert {r.spans: r.chars_removed for r in got if r.doc_id == 9} == {"": 0, "0-22": 22}
+
+
 def _shingles(text):
     w = WORD.findall((text or "").lower())
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
