@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
 def ordinals(points: DataFrame) -> DataFrame:
@@ -48,27 +53,43 @@ def lock_pairing(locks: DataFrame) -> DataFrame:
     ).selectExpr("owner", "lock", "acquires", "releases", "greatest(acquires - releases, 0L) as unpaired_acquires", "greatest(releases - acquires, 0L) as unpaired_releases")
 
 
+def _walked(locks: DataFrame, wanted: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of type ``wanted``, and ``held``: the locks whose newest event before them in the owner is an acquire.
+
+    Each owner is walked once in order of position with the set of held locks, however many and of whatever type.
+    """
+    fields = [locks.schema[c] for c in columns]
+    schema = StructType([*fields, StructField("held", ArrayType(locks.schema["lock"].dataType))])
+    made = to_arrow_schema(schema)
+    read = list(dict.fromkeys(["owner", "position", "type", "lock", *columns]))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held = None, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["owner"] != owner:
+                    owner, held = row["owner"], {}
+                if row["type"] == wanted:
+                    out.append({**{c: row[c] for c in columns}, "held": list(held)})
+                if row["type"] == "LOCK" and row["lock"] is not None:
+                    held[row["lock"]] = True
+                elif row["type"] == "UNLOCK":
+                    held.pop(row["lock"], None)
+            yield pa.RecordBatch.from_pylist(out, made)
+
+    return locks.select(*read).repartition("owner").sortWithinPartitions("owner", "position").mapInArrow(walk, schema)
+
+
 def held_locks(locks: DataFrame) -> DataFrame:
     """Locks that are held at each access: those whose newest event before it in the owner is an acquire.
 
-    A row for each access and held lock. The state of a lock is carried along the owner's order by a window, so a
-    straight line of points gives the must-hold set.
+    A row for each access with the array of its held locks. A straight line of points gives the must-hold set.
     """
-    states = []
-    for lock in range(4):
-        newest = F.last_value(F.when(F.col("lock") == lock, F.when(F.col("type") != "ACCESS", F.col("type"))), True)
-        before = W.partitionBy("owner").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
-        states.append(F.when(newest.over(before) == "LOCK", F.lit(lock)))
-    rows = locks.withColumn("held", F.array_compact(F.array(*states))).where("type = 'ACCESS'")
-    return rows.select("event_id", "owner", "subject", "position", "held")
+    return _walked(locks, "ACCESS", ["event_id", "owner", "subject", "position"])
 
 
 def acquisition_pairs(locks: DataFrame) -> DataFrame:
     """owner, first, second: a lock taken while another is held, each once."""
-    states = []
-    before = W.partitionBy("owner").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
-    for lock in range(4):
-        newest = F.last_value(F.when((F.col("lock") == lock) & F.col("type").isin("LOCK", "UNLOCK"), F.col("type")), True)
-        states.append(F.when(newest.over(before) == "LOCK", F.lit(lock)))
-    rows = locks.withColumn("held", F.array_compact(F.array(*states))).where("type = 'LOCK'")
+    rows = _walked(locks, "LOCK", ["owner", "lock"])
     return rows.select("owner", F.explode("held").alias("first"), F.col("lock").alias("second")).where("first <> second").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factloom.functions import ids
-from factloom.operators import governance, overlay, traversal
+from factloom.operators import dataflow, defects, governance, overlay, traversal
 from factloom.plans import catalog
 from factloom.sources import repository, store
 from factloom.streaming import increments
@@ -210,3 +210,28 @@ def test_syntax_rows(spark, tmp_path):
     known = {r.node_id for r in rows}
     assert len(known) == len(rows) and sum(r.parent_id is None for r in rows) == 1 and all(r.parent_id in known for r in rows if r.parent_id)
     assert syntax.parse_braces(files).first().references[0].raw_name == "g"
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_any_number_of_locks(spark, named):
+    r = random.Random(4)
+    rows, held_at, pairs = [], {}, {}
+    for owner in ("a", "b", "c", None):
+        held = set()
+        for position in range(60):
+            kind, lock = r.choice(["LOCK", "LOCK", "UNLOCK", "ACCESS"]), r.randrange(9)
+            lock = f"lock{lock}" if named else lock
+            rows.append((len(rows), owner, kind, lock, 0, position))
+            if kind == "ACCESS":
+                held_at[len(rows) - 1] = sorted(held)
+            elif kind == "LOCK":
+                for other in held - {lock}:
+                    pairs.setdefault((other, lock), set()).add(owner)
+                held.add(lock)
+            else:
+                held.discard(lock)
+    r.shuffle(rows)
+    locks = spark.createDataFrame(rows, f"event_id long, owner string, type string, lock {'string' if named else 'int'}, subject int, position long")
+    assert {x.event_id: sorted(x.held) for x in dataflow.held_locks(locks).collect()} == held_at
+    want = {(a, b): (len(o), len(pairs[b, a])) for (a, b), o in pairs.items() if a < b and (b, a) in pairs}
+    assert {(x.first, x.second): (x.owners, x.inverse) for x in defects.lock_order(locks).collect()} == want
