@@ -45,7 +45,8 @@ def race(points: DataFrame, k: int = 3) -> DataFrame:
     """Identities that several owners touch and at least one writes, and for each its owner pairs of greatest weight.
 
     Owners are summed up first, so what is paired are the strongest owners of an identity (a report of the first
-    ``k`` writers against the first ``k`` others), never its points.
+    ``k`` writers against the first ``k`` others), never its points. The cut comes before the pairing; every owner is in
+    ``race_owners``, and ``race_report`` says what its own cut leaves out.
     """
     kind = F.col("type").isin("WRITE", "ALLOC")
     per = points.groupBy("subject", "owner").agg(F.sum(kind.cast("long")).alias("writes"), F.count(F.lit(1)).alias("touches"))
@@ -58,6 +59,41 @@ def race(points: DataFrame, k: int = 3) -> DataFrame:
     return w.join(o, "subject").where("writer <> other")
 
 
+def _touches(points: DataFrame) -> DataFrame:
+    """subject, owner, writes, touches, and how many owners and writers the subject has; only where a race can be."""
+    kind = F.col("type").isin("WRITE", "ALLOC")
+    per = points.groupBy("subject", "owner").agg(F.sum(kind.cast("long")).alias("writes"), F.count(F.lit(1)).alias("touches"))
+    of = per.groupBy("subject").agg(F.count(F.lit(1)).alias("owners"), F.sum((F.col("writes") > 0).cast("long")).alias("writers"))
+    return per.join(of.where("owners > 1 and writers > 0").withColumnRenamed("subject", "_s"), F.col("subject").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def race_owners(points: DataFrame) -> DataFrame:
+    """Every owner of every identity that several owners touch and at least one writes; no pair is left out or built.
+
+    writing_partners counts the other owners that write the identity; partners those that the owner may race with
+    (all others if it writes itself).
+    """
+    writing = F.col("writers") - (F.col("writes") > 0).cast("long")
+    partners = F.when(F.col("writes") > 0, F.col("owners") - 1).otherwise(F.col("writers"))
+    return _touches(points).select("subject", "owner", "writes", "touches", writing.alias("writing_partners"), partners.alias("partners"))
+
+
+def race_report(points: DataFrame, k: int = 3) -> DataFrame:
+    """The first ``k`` writers of each identity, each with its first ``k`` other owners, as a report on ``race_owners``.
+
+    ``total`` counts all pairs of a writer and another owner of the identity; ``truncated`` tells that not all are shown.
+    """
+    rows = _touches(points)
+    shared = W.partitionBy("subject")
+    w = rows.where("writes > 0").withColumn("k", F.row_number().over(shared.orderBy(F.desc("writes"), "owner"))).where(f"k <= {k}")
+    o = rows.withColumn("k", F.row_number().over(shared.orderBy(F.desc("touches"), "owner"))).where(f"k <= {k + 1}")  # one may be the writer
+    w = w.select("subject", F.col("owner").alias("writer"), "writes", (F.col("writers") * (F.col("owners") - 1)).alias("total"))
+    o = o.select(F.col("subject").alias("_s"), F.col("owner").alias("other"), "touches")
+    met = w.join(o, F.col("subject").eqNullSafe(F.col("_s"))).where("NOT writer <=> other")
+    met = met.withColumn("k", F.row_number().over(W.partitionBy("subject", "writer").orderBy(F.desc("touches"), "other"))).where(f"k <= {k}")
+    return met.withColumn("truncated", F.col("total") > F.count(F.lit(1)).over(shared)).select("subject", "writer", "writes", "other", "touches", "total", "truncated")
+
+
 def lock_order(locks: DataFrame) -> DataFrame:
     """Inverted lock pairs: how many owners take first then second, and how many the other way round."""
     pairs = dataflow.acquisition_pairs(locks).groupBy("first", "second").agg(F.count(F.lit(1)).alias("owners"))

@@ -409,6 +409,19 @@ def race_condition(g: Facts) -> DataFrame:
     return defects.race(g.points)
 
 
+_TOUCHES = "WITH p AS (SELECT subject, owner, count(*) FILTER (WHERE type IN ('WRITE', 'ALLOC')) AS writes, count(*) AS touches FROM points GROUP BY ALL), t AS (SELECT *, count(*) OVER (PARTITION BY subject) AS owners, count(*) FILTER (WHERE writes > 0) OVER (PARTITION BY subject) AS writers FROM p)"
+
+
+@_query(_TOUCHES + " SELECT subject, owner, writes, touches, writers - CAST(writes > 0 AS INT) AS writing_partners, CASE WHEN writes > 0 THEN owners - 1 ELSE writers END AS partners FROM t WHERE owners > 1 AND writers > 0", ("points",))
+def race_owners(g: Facts) -> DataFrame:
+    return defects.race_owners(g.points)
+
+
+@_query(_TOUCHES + ", w AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY writes DESC, owner) AS a FROM t WHERE writes > 0 AND owners > 1), m AS (SELECT w.subject, w.owner AS writer, w.writes, o.owner AS other, o.touches, w.writers * (w.owners - 1) AS total, row_number() OVER (PARTITION BY w.subject, w.owner ORDER BY o.touches DESC, o.owner) AS b FROM w JOIN t o ON o.subject = w.subject AND o.owner <> w.owner WHERE w.a <= 3), s AS (SELECT * FROM m WHERE b <= 3) SELECT subject, writer, writes, other, touches, total, total > count(*) OVER (PARTITION BY subject) AS truncated FROM s", ("points",))
+def race_report(g: Facts) -> DataFrame:
+    return defects.race_report(g.points)
+
+
 @_query("SELECT owner, subject, count(*) AS checks FROM points p WHERE type = 'CHECK' AND NOT EXISTS (SELECT 1 FROM points w WHERE w.owner = p.owner AND w.subject = p.subject AND w.type = 'WRITE') GROUP BY ALL", ("points",))
 def state_machine(g: Facts) -> DataFrame:
     return defects.state_machine(g.points)

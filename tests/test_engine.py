@@ -235,3 +235,13 @@ def test_any_number_of_locks(spark, named):
     assert {x.event_id: sorted(x.held) for x in dataflow.held_locks(locks).collect()} == held_at
     want = {(a, b): (len(o), len(pairs[b, a])) for (a, b), o in pairs.items() if a < b and (b, a) in pairs}
     assert {(x.first, x.second): (x.owners, x.inverse) for x in defects.lock_order(locks).collect()} == want
+
+
+def test_race_owners_leave_none_out(spark):
+    rows = [(1, f"o{k}", "WRITE") for k in range(5) for _ in range(5 - k)] + [(1, f"r{k}", "CHECK") for k in range(4)] + [(2, "o0", "WRITE"), (2, "r0", "CHECK")] + [(3, "r0", "CHECK"), (3, "r1", "CHECK")] + [(4, "o0", "WRITE")]
+    points = spark.createDataFrame(rows, "subject int, owner string, type string")
+    got = {(r.subject, r.owner): (r.writing_partners, r.partners) for r in defects.race_owners(points).collect()}
+    assert got == {**{(1, f"o{k}"): (4, 8) for k in range(5)}, **{(1, f"r{k}"): (5, 5) for k in range(4)}, (2, "o0"): (0, 1), (2, "r0"): (1, 1)}
+    report = defects.race_report(points).collect()
+    assert {(r.subject, r.total, r.truncated) for r in report} == {(1, 40, True), (2, 1, False)}
+    assert {(r.writer, r.other) for r in report if r.subject == 1} == {("o0", "o1"), ("o0", "o2"), ("o0", "o3"), ("o1", "o0"), ("o1", "o2"), ("o1", "o3"), ("o2", "o0"), ("o2", "o1"), ("o2", "o3")}
