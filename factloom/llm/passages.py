@@ -1,0 +1,119 @@
+"""Passage dedup: of each window of so many words that repeats anywhere, also inside lines, the earliest occurrence stays."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom import scratch
+from factloom.llm import text as tx
+
+#: Words of a passage.
+WIDTH = 50
+_WORD = re.compile(r"\S+")
+
+
+def _coded(text: str | None) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in (text or "").casefold().split()], dtype=np.uint64)
+
+
+def _prints(coded: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``width`` words the place and hash of its least run of half as many: windows of equal words have equal ones."""
+    half = max(width // 2, 1)
+    runs = np.zeros(len(coded) - half + 1, dtype=np.uint64)
+    for k in range(half):
+        runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ (runs >> np.uint64(29)) ^ coded[k : k + len(runs)]
+    runs *= np.uint64(0xD6E8FEB86659FD93)
+    view = np.lib.stride_tricks.sliding_window_view(runs, width - half + 1)
+    at = np.arange(len(view)) + view.argmin(1)
+    return at, runs[at].view(np.int64)
+
+
+def _windows(keyed: DataFrame, width: int) -> DataFrame:
+    """doc_id, row, at (word), digest: every window that can repeat, each once for rows of equal key.
+
+    A window that repeats has its print at two places, so only windows whose print does are made; none is lost.
+    """
+
+    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, prints = [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                coded = _coded(text)
+                if len(coded) >= width:
+                    at, value = _prints(coded, width)
+                    value = value[np.unique(at, return_index=True)[1]]
+                    rows.extend([row] * len(value))
+                    prints.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *prints]))], ["row", "print"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for doc, row, text, prints in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "prints")), strict=True):
+                coded = _coded(text)
+                for at in np.flatnonzero(np.isin(_prints(coded, width)[1], np.array(prints, dtype=np.int64))).tolist():
+                    for column, value in zip(out, (doc, row, at, xxhash.xxh3_128_digest(coded[at : at + width].tobytes())), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "row", "at", "digest"])
+
+    prints = scratch.stored(keyed.select("row", "text").mapInArrow(selected, "row binary, print long"), "prints")
+    often = scratch.stored(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "repeated-prints")
+    wanted = prints.join(often, "print").groupBy("row").agg(F.collect_set("print").alias("prints"))
+    texts = keyed.join(wanted, "row").select("doc_id", "row", "text", "prints")
+    return scratch.stored(texts.mapInArrow(made, "doc_id long, row binary, at int, digest binary"), "windows")
+
+
+def passage_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs(doc_id, text)`` without repeated passages: doc_id, text, n_removed (spans), words_removed, spans.
+
+    Words stand between white space and are compared by case folding. Of each window of ``width`` words that occurs at
+    several places, in lines or across them, all occurrences but the earliest (doc_id, null last, then row key and
+    place) go; words of an overlapping first occurrence in the same row stay. ``spans`` are places in the original
+    text in code points, as "a-b,c-d". Of rows that repeat id and text one is the first. Every row comes back.
+    """
+    keyed = docs.select("doc_id", tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    copies = scratch.stored(keyed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-rows")
+    again = not copies.isEmpty()
+    single = keyed
+    if again:
+        once = keyed.join(copies, "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        single = scratch.stored(keyed.join(copies, "row", "left_anti").unionByName(once), "rows")
+    found = _windows(single, width)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
+    first = scratch.stored(found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "first-windows")
+    late = found.join(first, "digest").where(place > F.col("first"))
+    begin = F.when(F.col("row") == F.col("first.row"), F.greatest("at", F.col("first.at") + width)).otherwise(F.col("at"))
+    spans = late.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(begin.alias("a"), (F.col("at") + width).alias("b")))).alias("gone"))
+    rows = single.join(spans, "row", "left").select("row", "doc_id", "text", "gone")
+    if again:
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.lit((1 << 31) - 1).alias("b")))
+        number = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long")))).alias("copy")
+        rows = rows.join(copies, "row", "left").select("doc_id", "text", "gone", number).withColumn("gone", F.when(F.col("copy") > 1, whole).otherwise(F.col("gone")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, text, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "gone")), strict=True):
+                places = [m.span() for m in _WORD.finditer(text)] if gone and text else []
+                merged: list[list[int]] = []
+                for a, b in ((s["a"], min(s["b"], len(places))) for s in gone or [] if len(places) >= width):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(b, merged[-1][1])
+                    elif a < b:
+                        merged.append([a, b])
+                spans = [(places[a][0], places[b - 1][1]) for a, b in merged]
+                kept = text
+                for a, b in reversed(spans):
+                    kept = kept[:a] + kept[b:]
+                for column, value in zip(out, (doc, kept, len(spans), sum(b - a for a, b in merged), ",".join(f"{a}-{b}" for a, b in spans)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "text", "n_removed", "words_removed", "spans"])
+
+    return rows.select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, text string, n_removed long, words_removed long, spans string")

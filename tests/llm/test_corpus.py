@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factloom.llm import decontam, html_extract, jaccard_join, licenses, line_dedup, pieces, quality, substring_dedup, token_counts, token_store
+from factloom.llm import decontam, html_extract, jaccard_join, licenses, line_dedup, passages, pieces, quality, substring_dedup, token_counts, token_store
 from factloom.llm.queries import oracle_sql, queries, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -123,6 +123,32 @@ def test_substring_dedup_decides_by_row(spark):
     assert {r.spans: r.chars_removed for r in got if r.doc_id == 9} == {"": 0, "0-22": 22}
 
 
+@pytest.mark.parametrize("width", [10, 50])
+def test_passages_inside_lines(spark, width):
+    r = random.Random(8)
+    fresh = iter(range(10**6))
+    own = lambda n: " ".join(f"u{next(fresh)}" for _ in range(n))
+    said = own(width + 3)
+    rows = [(4, f"{own(7)} {said.upper()} {own(30)}"), (2, f"{own(40)}  {said}\n{own(3)}"), (None, f"{said} {own(60)}"), (None, own(70)), (6, " ".join(said.split()[: width - 1]) + " " + own(60)), (7, "again " * (3 * width)), (8, own(80)), (1, None), (5, "")]
+    rows += [(100 + k, " ".join(r.choice("abc") for _ in range(r.randint(0, 3 * width)))) for k in range(30)]
+    rows.append(rows[6])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.passage_dedup(docs, width).collect()
+    words = {(i, t): (t or "").casefold().split() for i, t in rows}
+    first, gone = {}, {k: set() for k in words}
+    for key in sorted(words, key=lambda k: (k[0] is None, k[0] or 0, k[1] or "")):
+        w = words[key]
+        for a in range(len(w) - width + 1):
+            at = first.setdefault(tuple(w[a : a + width]), (key, a))
+            gone[key] |= {k for k in range(a, a + width) if at != (key, a) and not (at[0] == key and k < at[1] + width)}
+    want = sorted([repr((i, len(gone[i, t]))) for i, t in dict.fromkeys(rows)] + [repr((8, 80))])
+    assert sorted(repr((x.doc_id, x.words_removed)) for x in got) == want
+    at = {x.doc_id: x for x in got if x.doc_id in (2, 4, 7)}
+    assert at[2].text == rows[1][1] and at[4].text == rows[0][1].replace(said.upper(), "") and at[7].text.split() == ["again"] * width
+    a, b = map(int, at[4].spans.split("-"))
+    assert rows[0][1][a:b] == said.upper()
+
+
 def _shingles(text):
     w = WORD.findall((text or "").lower())
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
