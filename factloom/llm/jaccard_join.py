@@ -8,13 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import scratch
 from factloom.llm import text as tx
+from factloom.llm.words import mix, slices, word_hashes
 
 _U = np.uint64
 #: Odd multipliers of the words of a shingle, by place.
@@ -47,32 +47,18 @@ class Paths:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - met))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word windows of each text, lower-cased; a shorter text is one window.
 
     Words stand between ASCII white space. A null, empty or blank text has an empty set.
     """
-    words = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
-    bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
-    flat = words.flatten().dictionary_encode()
-    entries = flat.dictionary.to_pylist()
-    coded = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in entries), dtype=_U, count=len(entries))[flat.indices.to_numpy()]
-    if "" in entries:
-        full = flat.indices.to_numpy() != entries.index("")
-        bounds = np.concatenate([[0], np.cumsum(full)])[bounds]
-        coded = coded[full]
+    coded, bounds = word_hashes(texts)
     n = max(len(coded) - width + 1, 0)
-    places = _PLACES if width <= len(_PLACES) else _mix(np.arange(1, width + 1, dtype=_U)) | _U(1)
+    places = _PLACES if width <= len(_PLACES) else mix(np.arange(1, width + 1, dtype=_U)) | _U(1)
     windows = np.zeros(n, dtype=_U)
     for k in range(width):
         windows += coded[k : k + n] * places[k]
-    windows = _mix(windows)
+    windows = mix(windows)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= width:
@@ -91,12 +77,11 @@ def _digest(s: np.ndarray) -> bytes:
 def sketches(docs: DataFrame, paths: Paths) -> DataFrame:
     """doc_id, row key, digest of the shingle set, its size, and the tokens that it chooses (slot = run * levels + level)."""
     slots = paths.runs * paths.levels
-    seeds = _mix(np.arange(1, slots + 1, dtype=_U) * _PLACES[0])
+    seeds = mix(np.arange(1, slots + 1, dtype=_U) * _PLACES[0])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch):
                 sets = shingle_sets(part.column("text"), paths.width)
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 tokens = np.concatenate([*sets, np.empty(0, dtype=_U)])
@@ -105,7 +90,7 @@ def sketches(docs: DataFrame, paths: Paths) -> DataFrame:
                 limit = (share * float(2**53)).astype(_U)
                 rows, slot, token = [], [], []
                 for s, seed in enumerate(seeds):
-                    chosen = np.flatnonzero((_mix(tokens ^ seed) >> _U(11)) < limit)
+                    chosen = np.flatnonzero((mix(tokens ^ seed) >> _U(11)) < limit)
                     rows.append(of[chosen])
                     slot.append(np.full(len(chosen), s, dtype=np.int32))
                     token.append(tokens[chosen])
@@ -321,8 +306,7 @@ def _classified(docs: DataFrame, paths: Paths | None) -> DataFrame:
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch):
                 sets = shingle_sets(part.column("text"), width)
                 same = pa.array([_digest(s) == w for s, w in zip(sets, part.column("wanted").to_pylist(), strict=True)], pa.bool_())
                 made = pa.RecordBatch.from_arrays([part.column("wanted"), *(part.column(c) for c in ("copies", "buckets", "places")), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "copies", "buckets", "places", "tokens"])

@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factloom.llm import decontam, html_extract, jaccard_join, licenses, line_dedup, passages, pieces, quality, substring_dedup, token_counts, token_store
+from factloom.llm import decontam, html_extract, jaccard_join, licenses, line_dedup, pieces, quality, substring_dedup, token_counts, token_store, words
 from factloom.llm.queries import oracle_sql, queries, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,33 +95,67 @@ def test_line_dedup(spark):
     assert got[22].text == "common line" and got[20].text == "" and got[21].text is None
 
 
-def test_substring_dedup(docs, texts):
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
-        at, kept, spans = 0, [], []
-        for line in (t or "").split("\n"):
-            w = line.casefold().split()
-            key = " ".join(w)
-            if len(w) >= 5 and key in seen:
-                spans.append(f"{at}-{at + len(line)}")
-            else:
-                kept.append(line)
-            if len(w) >= 5:
-                seen.add(key)
-            at += len(line) + 1
-        want[i] = ("\n".join(kept) if t is not None else None, ",".join(spans))
-    got = {r.doc_id: (r.text, r.spans) for r in substring_dedup.substring_dedup(docs).collect()}
-    assert got == want
+def _dedup(rows, width):
+    """Brute force over distinct (id, text): words of repeated units, then of repeated windows of the words left."""
+    order = lambda key: (key[0] is None, key[0] or 0, _row_key(key))
+    keys = sorted(dict.fromkeys(rows), key=order)
+    words = {k: [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(k[1] or "")] for k in keys}
+    gone = {k: set() for k in keys}
+    seen = {}
+    for k in keys:
+        w = words[k]
+        between = [k[1][w[i - 1][1] : w[i][0]] if i else "" for i in range(len(w))]
+        lines = [i for i in range(len(w)) if i == 0 or "\n" in between[i]]
+        paragraphs = [i for i in range(len(w)) if i == 0 or re.search(r"\n[\x20\x09-\x0D]*\n", between[i])]
+        spans = {(0, len(w))} | {(a, b) for cuts in (lines, paragraphs) for a, b in zip(cuts, [*cuts[1:], len(w)], strict=False)}
+        for a, b in sorted(x for x in spans if x[1] - x[0] >= width):
+            if seen.setdefault(tuple(x[2] for x in w[a:b]), (k, a)) != (k, a):
+                gone[k] |= set(range(a, b))
+    first, more = {}, {k: set() for k in keys}
+    for k in keys:
+        left = [i for i in range(len(words[k])) if i not in gone[k]]
+        for a in range(len(left) - width + 1):
+            at = first.setdefault(tuple(words[k][i][2] for i in left[a : a + width]), (k, a))
+            if at != (k, a):
+                more[k] |= {left[j] for j in range(a, a + width) if not (at[0] == k and j < at[1] + width)}
+    out, met = [], set()
+    for k in rows:
+        late = gone[k] | more[k]
+        if k in met and len(words[k]) >= width:
+            late = set(range(len(words[k])))
+        met.add(k)
+        runs = [i for i in sorted(late) if i - 1 not in late]
+        ends = [i for i in sorted(late) if i + 1 not in late]
+        spans = [(words[k][a][0], words[k][b][1]) for a, b in zip(runs, ends, strict=True)]
+        text = k[1]
+        for a, b in reversed(spans):
+            text = text[:a] + text[b:]
+        out.append((k[0], text, len(spans), sum(b - a for a, b in spans), ",".join(f"{a}-{b}" for a, b in spans)))
+    return sorted(map(repr, out))
+
+
+def _row_key(key):
+    return hashlib.md5(f"{'' if key[0] is None else key[0]}:{key[1] or ''}".encode()).digest()
+
+
+def _deduped(spark, rows, width):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(repr(tuple(r)) for r in substring_dedup.substring_dedup(docs, width).collect())
+
+
+@pytest.mark.parametrize("width", [5, 50])
+def test_substring_dedup(spark, texts, width):
+    rows = list(enumerate(texts))
+    assert _deduped(spark, rows, width) == _dedup(rows, width)
 
 
 def test_substring_dedup_decides_by_row(spark):
     line = "one line of exactly six words"
-    own = [f"a line of row {k} on its own" for k in range(6)]
-    rows = [(None, f"{own[0]}\n{line}\nend"), (None, f"{own[1]}\n{own[2]}"), (None, f"top\n{line}"), (3, line), (3, f"x\n{own[3]}"), (-1, f"{own[4]}\n{own[5]}"), (9, "same row of five words\nend"), (9, "same row of five words\nend"), (9, "same row of five words\nend"), (None, None), (None, None)]
-    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = [(None, f"{own[0]}\nend", 1), (None, rows[1][1], 0), (None, "top", 1), (3, line, 0), (3, rows[4][1], 0), (-1, rows[5][1], 0), (9, rows[6][1], 0), (9, "end", 1), (9, "end", 1), (None, None, 0), (None, None, 0)]
-    assert sorted(repr((r.doc_id, r.text, r.n_removed)) for r in got) == sorted(map(repr, want))
-    assert {r.spans: r.chars_removed for r in got if r.doc_id == 9} == {"": 0, "0-22": 22}
+    own = [f"a{k} line{k} of{k} row{k} {k}" for k in range(6)]
+    rows = [(None, f"{own[0]}\n{line}\nend"), (None, f"{own[1]}\n{own[2]}"), (None, f"top\n{line}"), (3, line), (3, f"x\n{own[3]}"), (-1, f"{own[4]}\n{own[5]}"), (9, "same row of five words\nend"), (9, "same row of five words\nend"), (9, "same row of five words\nend"), (None, None), (None, None), (None, ""), (None, " \n "), (7, "few words"), (7, "few words")]
+    got = _deduped(spark, rows, 5)
+    assert got == _dedup(rows, 5)
+    assert repr((None, rows[1][1], 0, 0, "")) in got and repr((None, "top\n", 1, 29, "4-33")) in got and sum("same row" in x for x in got) == 1
 
 
 @pytest.mark.parametrize("width", [10, 50])
@@ -130,23 +165,32 @@ def test_passages_inside_lines(spark, width):
     own = lambda n: " ".join(f"u{next(fresh)}" for _ in range(n))
     said = own(width + 3)
     rows = [(4, f"{own(7)} {said.upper()} {own(30)}"), (2, f"{own(40)}  {said}\n{own(3)}"), (None, f"{said} {own(60)}"), (None, own(70)), (6, " ".join(said.split()[: width - 1]) + " " + own(60)), (7, "again " * (3 * width)), (8, own(80)), (1, None), (5, "")]
-    rows += [(100 + k, " ".join(r.choice("abc") for _ in range(r.randint(0, 3 * width)))) for k in range(30)]
-    rows.append(rows[6])
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = passages.passage_dedup(docs, width).collect()
-    words = {(i, t): (t or "").casefold().split() for i, t in rows}
-    first, gone = {}, {k: set() for k in words}
-    for key in sorted(words, key=lambda k: (k[0] is None, k[0] or 0, k[1] or "")):
-        w = words[key]
-        for a in range(len(w) - width + 1):
-            at = first.setdefault(tuple(w[a : a + width]), (key, a))
-            gone[key] |= {k for k in range(a, a + width) if at != (key, a) and not (at[0] == key and k < at[1] + width)}
-    want = sorted([repr((i, len(gone[i, t]))) for i, t in dict.fromkeys(rows)] + [repr((8, 80))])
-    assert sorted(repr((x.doc_id, x.words_removed)) for x in got) == want
-    at = {x.doc_id: x for x in got if x.doc_id in (2, 4, 7)}
-    assert at[2].text == rows[1][1] and at[4].text == rows[0][1].replace(said.upper(), "") and at[7].text.split() == ["again"] * width
-    a, b = map(int, at[4].spans.split("-"))
-    assert rows[0][1][a:b] == said.upper()
+    rows += [(100 + k, " ".join(r.choice("abc") + r.choice(["", "\n", "\n\n"]) for _ in range(r.randint(0, 3 * width)))) for k in range(30)]
+    rows += [rows[6], (9, f"{own(3)}\n\n{said}\n\n{own(2)}"), (10, said.replace(" ", "\n", 9))]
+    got = _deduped(spark, rows, width)
+    assert got == _dedup(rows, width)
+    assert repr((2, rows[1][1], 0, 0, "")) in got and any(x.startswith("(4, ") and rows[0][1].replace(said.upper(), "") in x for x in got)
+
+
+def test_window_hashes_are_those_of_each_window():
+    r = np.random.default_rng(3)
+    coded = r.integers(0, 4, 200).astype(np.uint64)
+    for width in (1, 2, 5, 13, 25, 50):
+        h = words.window_hashes(coded, width, 0x9E3779B97F4A7C15)
+        seen = {}
+        for i, x in enumerate(h.tolist()):
+            assert seen.setdefault(tuple(coded[i : i + width].tolist()), x) == x
+        assert len(h) == 201 - width and len(set(h.tolist())) == len(seen)
+        for best in (np.minimum, np.maximum):
+            assert words.sliding(coded, width, best).tolist() == [best.reduce(coded[i : i + width]) for i in range(201 - width)]
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (10, 5000, 3, 3, 0)] + [None, "b" * 90]})
+    parts = list(words.slices(batch, limit=100))
+    assert [p.num_rows for p in parts] == [1, 1, 5] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
 
 
 def _shingles(text):
