@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import scratch
@@ -18,18 +18,19 @@ from factloom.llm import words as wd
 
 #: Words that a unit or passage has at least; what is shorter repeats by chance or custom.
 LEAST_WORDS = 50
-#: Rows of spans (a row key and a few numbers each) up to which they are broadcast; beyond, they meet the texts by shuffle.
-BROADCAST_ROWS = 400_000
+#: Bytes of spans (64 for a row and 24 for an entry, at most) up to which they are broadcast; beyond, they meet the texts by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _WORD = re.compile(tx.WORD)
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _RANGES = "array<struct<a:int,b:int>>"
 
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a stored table, marked for broadcast if it is small enough."""
+def _small(df: DataFrame, name: str, entries: str) -> DataFrame:
+    """``df`` as a stored table, marked for broadcast if its rows and their ``entries`` are small enough."""
     kept = scratch.stored(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept.hint("shuffle_hash")
+    size = kept.agg((64 * F.count(F.lit(1)) + 24 * F.coalesce(F.sum(F.size(entries)), F.lit(0))).alias("bytes")).collect()[0][0]
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept.hint("shuffle_hash")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def _windows(texts: DataFrame, width: int) -> DataFrame:
 
     prints = scratch.stored(texts.select("row", "text", "gone").mapInArrow(anchors, "row binary, print long"), "prints")
     often = scratch.stored(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "repeated-prints")
-    wanted = _small(prints.join(often, "print").groupBy("row").agg(F.collect_set("print").alias("prints")), "wanted-prints")
+    wanted = _small(prints.join(often, "print").groupBy("row").agg(F.collect_set("print").alias("prints")), "wanted-prints", "prints")
     return scratch.stored(texts.join(wanted, "row").select("doc_id", "row", "text", "gone", "prints").mapInArrow(made, "doc_id long, row binary, a int, h long, g long"), "windows")
 
 
@@ -164,7 +165,12 @@ def passages(texts: DataFrame, width: int) -> DataFrame:
     first = scratch.stored(found.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first"), "first-windows")
     late = found.join(first, ["h", "g"]).where(_place() > F.col("first"))
     begin = F.when(F.col("row") == F.col("first.row"), F.greatest("a", F.col("first.a") + width)).otherwise(F.col("a"))
-    return late.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(begin.alias("a"), (F.col("a") + width).alias("b")))).alias("passages"))
+    ranges = late.select("row", begin.alias("a"), (F.col("a") + width).alias("b"))
+    order = Window.partitionBy("row").orderBy("a", "b")
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("a") <= F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = ranges.withColumn("reached", reached).withColumn("island", island).groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("passages"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -211,9 +217,9 @@ def substring_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     """
     keyed = _keyed(docs)
     found = scratch.stored(units(keyed, least_words), "units")
-    gone = _small(repeats(found), "unit-spans")
+    gone = _small(repeats(found), "unit-spans", "gone")
     texts = keyed.join(gone, "row", "left")
-    late = _small(passages(texts, least_words), "passage-spans")
+    late = _small(passages(texts, least_words), "passage-spans", "passages")
     copies = scratch.stored(found.where("whole").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-rows")
     cut = texts.join(late, "row", "left")
     if copies.isEmpty():
