@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -10,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.word_cache import TwoGenerations
+from factloom.llm.word_cache import TwoGenerations, trimmed
+from factloom.llm.words import slices
 
+#: Words in each of the two generations, and pairs of pieces, that a worker keeps during a task.
+WORDS, PAIRS = 150_000, 400_000
 MARK = "▁"
 
 
@@ -29,6 +35,7 @@ class Pieces:
     """
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,73 +55,156 @@ class Pieces:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece crosses a word mark; words can't be encoded apart")
-        self.longest = max(map(len, self.score), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = TwoGenerations(self.encode_words, 200_000)
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces that the merges leave of a short text: the best scored neighbours first, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            top, at = -np.inf, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and s > top:
-                    top, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _joins(self, left: str, right: str) -> bool:
-        """Whether ``right`` can follow ``left`` on a best path."""
-        known = self.pairs.get((left, right))
+        self.ids = {piece: i.to_bytes(4, "little") for piece, i in self.id_of.items()}
+        self.ends, self.lefts, self.pairs = ahocorasick.Automaton(), [], 0
+        for piece, ids in self.ids.items():
+            self.lefts.append({})
+            self.ends.add_word(piece, (len(piece) - 1, piece, ids, self.lefts[-1]))
+        self.ends.make_automaton()
+        self.steps: dict[str, tuple] = {}
+        # no piece holds a letter beside a character that is neither a letter nor in ``near``: words fall into parts there
+        both = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        letters = "".join(sorted({c for p in self.score for c in p if c.isalpha()}))
+        near = "".join(sorted({c for x in both for c in x if any(y in letters for y in x)}.difference(letters)))
+        apart = f"[^{re.escape(letters + near)}]"
+        self.split = re.compile(f"(?<=[{re.escape(letters)}])(?={apart})|(?<={apart})(?=[{re.escape(letters)}])").split if letters else lambda word: [word]
+        self.parts = TwoGenerations(self.encode_parts, WORDS)
+        self.words = TwoGenerations(self.encode_words, WORDS)
+
+    def forget(self) -> None:
+        """Free what was kept between batches; called at the end of a task, because an idle worker lives on."""
+        self._forget_pairs()
+        self.steps.clear()
+        self.words.forget()
+        self.parts.forget()
+
+    def merged(self, text: str, trace: list | None = None) -> list[str]:
+        """Pieces that the merges leave of a text: the best scored neighbours first, the leftmost of equals.
+
+        ``trace`` gets the score of each merge and the first and last piece after it.
+        """
+        n, score = len(text), self.score
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-score[x], k, x) for k in range(n - 1) if (x := text[k : k + 2]) in score]
+        heapq.heapify(heap)
+        last = n - 1
+        while heap:
+            low, k, made = heapq.heappop(heap)
+            left = parts[k]
+            m = after[k]
+            if left is None or m >= n or left + parts[m] != made:
+                continue
+            parts[k], parts[m] = made, None
+            after[k] = q = after[m]
+            if q < n:
+                before[q] = k
+                if (x := made + parts[q]) in score:
+                    heapq.heappush(heap, (-score[x], k, x))
+            else:
+                last = k
+            if (b := before[k]) >= 0 and (x := parts[b] + made) in score:
+                heapq.heappush(heap, (-score[x], b, x))
+            if trace is not None:
+                trace.append((-low, parts[0], parts[last]))
+        return [p for p in parts if p is not None]
+
+    def _own(self, piece: str) -> tuple:
+        """Whether the merges make the piece of its characters, and their scores with the first and last piece before each."""
+        known = self.steps.get(piece)
         if known is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            trace: list = []
+            whole = self.merged(piece, trace) == [piece]
+            scores = [s for s, _, _ in trace] + [-math.inf]
+            known = self.steps[piece] = whole, scores, [piece[0], *(f for _, f, _ in trace)], [piece[-1], *(x for _, _, x in trace)]
+            if len(self.steps) > 4 * len(self.score):  # characters that no piece holds
+                self.steps = {}
         return known
 
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        i = self.id_of.get(piece)
-        return (i,) if i is not None else tuple(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
+    def _joins(self, left: str, right: str, lefts: dict[str, bool]) -> bool:
+        """Whether ``right`` can follow ``left`` on a best path; ``lefts`` holds the answers for ``right``."""
+        if self.pairs >= PAIRS:
+            self._forget_pairs()
+        self.pairs += 1
+        known = lefts[left] = self._apart(left, right)
+        return known
+
+    def _forget_pairs(self) -> None:
+        for lefts in self.lefts:
+            lefts.clear()
+        self.pairs = 0
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether the merges of both, in order of score, never meet a better one across."""
+        whole, r_scores, firsts, _ = self._own(right)
+        if not whole or not left:
+            return whole
+        _, l_scores, _, lasts = self._own(left)
+        i = j = 0
+        score = self.score.get
+        while True:
+            a, b = l_scores[i], r_scores[j]
+            across = score(lasts[i] + firsts[j])
+            if across is not None and across > a and across >= b:
+                return False
+            if a == b == -math.inf:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
+    def _bytes(self, piece: str) -> bytes:
+        return self.ids.get(piece) or b"".join(self.byte_ids[b].to_bytes(4, "little") for b in piece.encode("utf-8", "replace"))
 
     def encode_words(self, words: Iterable[str]) -> list[bytes]:
-        """Ids of each marked word, little-endian, in the order asked for.
+        """Ids of each marked word, little-endian, in the order asked for: those of its parts, one after the other."""
+        cut = list(map(self.split, words))
+        get = self.parts.fill({p for parts in cut for p in parts}).__getitem__
+        return [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in cut]
+
+    def encode_parts(self, words: Iterable[str]) -> list[bytes]:
+        """Ids of each part of a word that merges can't leave, in the order asked for.
 
-        The distinct words are taken in sorted order, which is a depth-first walk of their trie: the stack holds the
-        last piece of each prefix of the current word, and a word starts from the prefix that it shares with the one
-        before. Words with more than one mark are merged directly: pieces of marks alone have equal scores, for which
-        the rule of neighbours doesn't hold.
+        The distinct parts are taken in sorted order, which is a depth-first walk of their trie: the stack holds the
+        last piece of each prefix of the current one, and each starts from the prefix that it shares with the one
+        before. The pieces that end at each place come from an automaton, the longest first. Those with more than one
+        mark are merged directly: pieces of marks alone have equal scores, for which the rule of neighbours doesn't hold.
         """
         words = list(words)
         found: dict[str, bytes] = {}
-        stack: list[str] = [""]
-        score, longest, joins, before = self.score, self.longest, self.pairs.get, ""
+        stack, coded = [""], [b""]
+        ends, before, put, add = self.ends.iter, "", stack.append, coded.append
         for word in sorted(set(words)):
             if word[1:2] == MARK:
-                path = self.merged(word)
-            else:
-                common = 0
-                for a, b in zip(before, word, strict=False):
-                    if a != b:
-                        break
-                    common += 1
-                del stack[common + 1 :]
-                for end in range(common + 1, len(word) + 1):
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        if piece in score or start == end - 1:
-                            known = joins((stack[start], piece))
-                            if known or (known is None and self._joins(stack[start], piece)):
-                                stack.append(piece)
-                                break
-                before, path, end = word, [], len(word)
-                while end:
-                    path.append(stack[end])
-                    end -= len(stack[end])
-                path.reverse()
-            found[word] = np.array([i for piece in path for i in self._ids(piece)], dtype="<u4").tobytes()
+                found[word] = b"".join(map(self._bytes, self.merged(word)))
+                continue
+            at = 0
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
+                at += 1
+            del stack[at + 1 :], coded[at + 1 :]
+            for end, (ahead, piece, ids, lefts) in ends(word):
+                if end < at:
+                    continue
+                while at < end:  # characters that no piece holds
+                    put(word[at])
+                    add(coded[at] + self._bytes(word[at]))
+                    at += 1
+                left = stack[end - ahead]
+                known = lefts.get(left)
+                if known is None:
+                    known = self._joins(left, piece, lefts)
+                if known:
+                    put(piece)
+                    add(coded[end - ahead] + ids)
+                    at += 1
+            for c in word[at:]:
+                put(c)
+                add(coded[-1] + self._bytes(c))
+            before = word
+            found[word] = coded[-1]
         return [found[w] for w in words]
 
     @staticmethod
@@ -145,8 +235,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.marked(t) for t in texts]
-        self.words.fill({w for words in cut for w in words})
-        get = self.words.__getitem__
+        get = self.words.fill({w for words in cut for w in words}).__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
     def decode(self, ids: bytes) -> str:
@@ -170,9 +259,8 @@ def encode(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                part = batch.slice(k, 4000)
+        for batch in trimmed(batches, model.forget):
+            for part in slices(batch):
                 coded = model.encode([t or "" for t in part.column("text").to_pylist()])
                 size = np.array([len(c) // 4 for c in coded], dtype=np.int64)
                 flat = np.frombuffer(b"".join(coded), dtype="<i4")
@@ -192,9 +280,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                part = batch.slice(k, 4000)
+        for batch in trimmed(batches, model.forget):
+            for part in slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 coded = model.encode(texts)
                 same = [model.decode(c) == t.replace(MARK, " ") for c, t in zip(coded, texts, strict=True)]

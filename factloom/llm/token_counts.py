@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm.word_cache import TwoGenerations
+from factloom.llm.word_cache import TwoGenerations, trimmed
+from factloom.llm.words import slices
 
 _CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -32,6 +33,9 @@ class PieceCounter:
         self.splits = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and [len(self.model.encode(x)) for x in ("\n", " a", "a\n a")] == [2, len(self.model.encode("▁a")), 1 + 2 * len(self.model.encode("a"))]
         self.counts = TwoGenerations(lambda keys: map(len, self.model.encode(keys, num_threads=1)))
 
+    def forget(self) -> None:
+        self.counts.forget()
+
     def __call__(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
         whole, cut = [], []
@@ -44,8 +48,7 @@ class PieceCounter:
                 cut.append((k, text.replace("\n", " \n").split(" "), text.count("\n")))
         for k, n in zip(whole, map(len, self.model.encode([texts[k] for k in whole], num_threads=1)), strict=True):
             out[k] = n
-        self.counts.fill({x for _, words, _ in cut for x in words})
-        get = self.counts.__getitem__
+        get = self.counts.fill({x for _, words, _ in cut for x in words}).__getitem__
         for k, words, lines in cut:  # a chunk that begins with a line feed gets a mark that is not in the text
             out[k] = sum(map(get, words)) - lines + (words[0] == "")  # unless the text begins with it
         return out
@@ -61,6 +64,9 @@ class JsonCounter:
         self.model.no_truncation()
         self.model.no_padding()
 
+    def forget(self) -> None:
+        """Nothing is kept."""
+
     def __call__(self, texts: list[str]) -> list[int]:
         return [len(x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -101,9 +107,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
-        for batch in batches:
-            n = count(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(n), pa.string()), batch.column("wanted"), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
+        for batch in trimmed(batches, count.forget):
+            for part in slices(batch):
+                n = count(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(n), pa.string()), part.column("wanted"), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     fresh.select("wanted", "text").mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == file).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
