@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm.word_cache import TwoGenerations
+from factloom.llm.word_cache import TwoGenerations, trimmed
+from factloom.llm.words import slices
 
 #: Chunks whose ids do not depend on case or on what stands beside them: Latin letters without marks of their own, then full stops and commas.
 _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,]*)$"
@@ -31,6 +32,10 @@ LAYOUT = {
 }
 
 
+#: Token files (a name and a long each) up to which their places are broadcast; beyond, Spark joins by shuffle.
+BROADCAST_FILES = 200_000
+
+
 class ChunkEncoder:
     """Ids of whole texts from a tokenizers file whose pre-tokenizer never joins across an ASCII space or line feed.
 
@@ -50,6 +55,10 @@ class ChunkEncoder:
         self.words = TwoGenerations(self._words)
         self.others = TwoGenerations(self._library)
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.others.forget()
+
     def _library(self, keys: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
 
@@ -77,10 +86,10 @@ class ChunkEncoder:
         tail = m.field("tail").dictionary_encode()
         words, tails = word.dictionary.to_pylist(), tail.dictionary.to_pylist()
         rest = chunks.filter(pc.invert(plain)).to_pylist()
-        self.words.fill([x for x in words if x])
-        self.others.fill([x for x in (*rest, *tails) if x])
-        at_word = [self.words[x] if x else b"" for x in words]
-        at_tail = [self.others[x] if x else b"" for x in tails]
+        known = self.words.fill({x for x in words if x})
+        others = self.others.fill({x for x in (*rest, *tails) if x})
+        at_word = [known[x] if x else b"" for x in words]
+        at_tail = [others[x] if x else b"" for x in tails]
         n = len(chunks)
         parts = np.empty(2 * n, dtype=object)
         flags = plain.to_numpy(zero_copy_only=False)
@@ -91,7 +100,7 @@ class ChunkEncoder:
         if len(where):
             parts[2 * where] = _objects(at_word)[w]
             parts[2 * where + 1] = _objects(at_tail)[t]
-        parts[2 * np.flatnonzero(~flags)] = _objects([self.others[x] if x else b"" for x in rest])
+        parts[2 * np.flatnonzero(~flags)] = _objects([others[x] if x else b"" for x in rest])
         size = np.fromiter(map(len, parts), dtype=np.int64, count=2 * n).reshape(n, 2).sum(1) // 4
         return np.frombuffer(b"".join(parts), dtype="<u4"), size
 
@@ -128,9 +137,10 @@ def _encoder(path: str) -> ChunkEncoder:
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, partitions: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` and write token files to ``path``.
 
-    Rows are dealt by ranges of doc_id and sorted, so the files in name order hold the documents in ascending order
-    (rows with equal ids stand together, in any order; null ids come first). A null text is an empty one and gets the
-    end id alone. Columns: doc_id, ids (list of int), n_tokens, local_start (ids before the document in its file).
+    Rows are dealt by ranges of doc_id and sorted, so the files in order of their partition numbers hold the documents
+    in ascending order. Null ids come first; rows with equal ids or none stand in order of a hash of their text, which
+    also deals them out, so every run gives each text the same place. A null text is an empty one and gets the end id
+    alone. Columns: doc_id, ids (list of int), n_tokens, local_start (ids before the document in its file).
     Other columns of ``docs`` are not written.
     """
     spark = docs.sparkSession
@@ -138,27 +148,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, partitions:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(tokenizer), 0
-        for batch in batches:
-            ids = encoder.encode(batch.column("text"), end)
-            size = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-            start = before + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[: len(size)]
-            before += int(size.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(size), pa.array(start)], ["doc_id", "ids", "n_tokens", "local_start"])
-
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+        for batch in trimmed(batches, encoder.forget):
+            for part in slices(batch, limit=8 << 20):
+                ids = encoder.encode(part.column("text"), end)
+                size = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+                start = before + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[: len(size)]
+                before += int(size.sum())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(size), pa.array(start)], ["doc_id", "ids", "n_tokens", "local_start"])
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, local_start long").write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a token folder with ``start``, the ids of all documents before each one.
 
-    Only the sizes are read to place the files one after the other: one row for each file, so the window over them
-    has as many rows as there are files. Selecting few documents or no ids prunes pages and columns.
+    Only the sizes are read to place the files one after the other, in order of the partition numbers in their names:
+    one row for each file, so the window over them has as many rows as there are files, and they are broadcast if they
+    are few enough. Selecting few documents or no ids prunes pages and columns.
     """
     rows = spark.read.schema("doc_id long, ids array<int>, n_tokens long, local_start long").parquet(path).withColumn("file", F.col("_metadata.file_name"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    placed = files.selectExpr("file", "coalesce(sum(size) over (order by file rows between unbounded preceding and 1 preceding), 0L) as base")
-    return rows.join(F.broadcast(placed), "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    number = r"CAST(regexp_extract(file, '^part-(\\d+)', 1) AS BIGINT)"
+    placed = scratch.stored(files.selectExpr("file", f"coalesce(sum(size) over (order by {number}, file rows between unbounded preceding and 1 preceding), 0L) as base"), "token-file-places")
+    placed = F.broadcast(placed) if placed.count() <= BROADCAST_FILES else placed
+    return rows.join(placed, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:

@@ -249,6 +249,23 @@ def test_pieces_are_those_of_the_library(docs, texts):
         assert r.round_trip and r.ids_crc32 == zlib.crc32(np.array(library.encode(texts[r.doc_id] or ""), "<u4").tobytes())
 
 
+def test_pieces_at_the_bounds_of_the_caches(texts, monkeypatch):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "WORDS", 5)
+    monkeypatch.setattr(pieces, "PAIRS", 3)
+    model = pieces.Pieces(path)
+    r = random.Random(4)
+    parts = ["a", "th", "e", ".", ",", "\n", " ", "  ", "▁", "é", "’", "“", "1", "23", "日", "!", "...", "-", "_", "(", "'", "\t", "ß", "И", "🙂", "the", "ing", "'s", "{", "=="]
+    some = [t or "" for t in texts] + ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(2000)] + [" " * 5000 + "x"]
+    for k in range(0, len(some), 50):
+        assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(some[k : k + 50])] == library.encode(some[k : k + 50])
+    model.forget()
+    assert not model.words.young and not model.parts.old
+
+
 def test_token_counts_and_cache(spark, docs, texts, tmp_path):
     import sentencepiece
 
@@ -280,6 +297,20 @@ def test_token_files(spark, texts):
         start += len(want)
 
 
+def test_token_files_place_equal_ids_the_same_way(spark, monkeypatch):
+    texts = [f"text number {k} of the shared id" for k in range(40)] + ["same", "same", None, ""]
+    rows = [(None if k % 3 == 0 else 5, t) for k, t in enumerate(texts)]
+    runs = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(5)
+        got = token_store.token_files(docs, tokenizer("word_bpe_49k.json")).collect()
+        runs.append(sorted((r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in got))
+        monkeypatch.setattr(token_store, "BROADCAST_FILES", 0)
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    places = sorted((start, n) for _, start, n, _ in runs[0])
+    assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+
+
 def test_token_files_layout(spark, docs):
     import glob
 
