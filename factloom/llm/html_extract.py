@@ -189,17 +189,26 @@ def features(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+#: Log odds of main text below which a node and all that it holds are out.
+REJECTED = -4.0
+
+
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     """Whether the text of each node is main text: the most likely labelling without contradictions.
 
     Labels are mixed, main and other. Below a mixed node anything may stand, below main text main or other, below
-    other only other, so nothing under a menu is main text and nothing main hangs in no main or mixed ancestor.
+    other only other. A node whose odds are below ``REJECTED`` is other (but for html and body, which hold the whole
+    page) with all that it holds, so no text stays under a menu that the trees reject. Text that stands in a mixed
+    node itself goes by its own odds.
     """
     n = len(nodes)
     main, other = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     mixed = np.full(n, np.log(0.5))
     weight = np.array([1.0 if x.texts else 0.25 for x in nodes])
     best = np.stack([mixed * weight * np.array([4.0 if x.texts else 1.0 for x in nodes]), main * weight, other * weight], axis=1)
+    out = odds < REJECTED
+    out &= np.array([x.tag not in ("html", "body") for x in nodes])
+    best[out, :2] = -np.inf
     for k in range(n - 1, 0, -1):
         p = nodes[k].parent
         m, c, o = best[k]

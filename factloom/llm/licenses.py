@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = re.compile(f"{_WORD}+")
+#: What may stand for a space of a signature: white space, with comment marks around a line break.
+_SPACE = r"(?:\s[\s#*/;!>|%-]{0,24})"
+_SPACES = re.compile(_SPACE)
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 #: Phrases whose places count as base detections, and their labels.
@@ -24,7 +27,9 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 class Rule:
     """A signature: ``pattern`` over the lower-cased text, looked for only where ``keyword`` occurs.
 
-    Of two detections of which one holds the other, the one of higher priority stays; of equals the longer one.
+    A space of either stands for any white space, and for line breaks with comment marks. The detection is the group
+    named ``at``, or else the whole match. Of two detections of which one holds the other, the one of higher priority
+    stays; of equals the longer one.
     """
 
     label: str
@@ -32,6 +37,9 @@ class Rule:
     keyword: str
     pattern: str
 
+    def compiled(self) -> re.Pattern:
+        return re.compile(self.pattern.replace("[ -]", f"(?:{_SPACE}|-)").replace(" ?", f"{_SPACE}?").replace(" ", _SPACE))
+
 
 #: label; name as written in running text (regular expression); a literal that each match holds; versions; registry name
 FAMILIES = [
@@ -75,7 +83,8 @@ FAMILIES = [
     ("ncsa", r"(?:the )?university of illinois/ncsa open source licen[sc]e", "ncsa", (), "ncsa"),
     ("postgresql", r"(?:the )?postgresql licen[sc]e", "postgresql licen", (), "postgresql"),
     ("vim", r"(?:the )?vim licen[sc]e", "vim licen", (), "vim"),
-    ("wtfpl", r"(?:the )?do what the fuck you want to public licen[sc]e|wtfpl", "", ("2",), "wtfpl"),
+    ("wtfpl", r"(?:the )?do what the fuck you want to public licen[sc]e", "do what the fuck", ("2",), "wtfpl"),
+    ("wtfpl", r"wtfpl", "wtfpl", ("2",), ""),
     ("unlicense", r"(?:the )?unlicen[sc]e", "unlicen", (), "unlicense"),
     ("ms-pl", r"(?:the )?microsoft public licen[sc]e", "microsoft public", (), "ms-pl"),
     ("ms-rl", r"(?:the )?microsoft reciprocal licen[sc]e", "microsoft reciprocal", (), "ms-rl"),
@@ -125,8 +134,8 @@ BODIES = [
     ("lgpl", "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("agpl", "gnu.org/licenses", r"gnu\.org/licenses/agpl"),
     ("apache", "apache.org/licenses", r"apache\.org/licenses/license-\d(?:\.\d)?"),
-    ("mit", "opensource.org/licenses", r"opensource\.org/licenses?/mit"),
-    ("bsd", "opensource.org/licenses", r"opensource\.org/licenses?/bsd"),
+    ("mit", "opensource.org/license", r"opensource\.org/licenses?/mit"),
+    ("bsd", "opensource.org/license", r"opensource\.org/licenses?/bsd"),
     ("mpl", "mozilla.org/mpl", r"mozilla\.org/mpl/\d(?:\.\d)?"),
     ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
     ("bsl", "boost.org/license", r"boost\.org/license_1_0"),
@@ -142,16 +151,16 @@ def rules() -> list[Rule]:
     priority."""
     out = []
     for label, name, keyword, versions, registry in FAMILIES:
-        keyword = keyword or registry
         out.append(Rule(label, 50, keyword, rf"\b(?:{name})\b"))
         out.append(Rule(label, 70, keyword, rf"\b(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:{name})\b"))
         for v in versions:
             out.append(Rule(f"{label}-{v}", 60, keyword, rf"\b(?:{name}),?(?: \(?[a-z]{{2,6}}\)?)?,? v(?:er(?:sion)?)?\.? ?{re.escape(v)}(?![.\d]*\d)"))
             out.append(Rule(f"{label}-{v}", 60, keyword, rf"\b(?:{name}),? \(?{re.escape(v)}(?![.\d]*\d)"))
         if registry:
-            out.append(Rule(label, 80, "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:\([^)\n]*)?\b{re.escape(registry)}(?![a-z])"))
+            line = r"spdx-license-identifier:[^\n]*?(?<![\w.-])"  # an expression may name several
+            out.append(Rule(label, 80, "spdx-license-identifier", rf"{line}(?P<at>{re.escape(registry)})(?![a-z])"))
             for v in versions:
-                out.append(Rule(f"{label}-{v}", 90, "spdx-license-identifier", rf"spdx-license-identifier:\s*{re.escape(registry)}-{re.escape(v)}(?:-only|-or-later|\+)?(?![.\d]*\d)"))
+                out.append(Rule(f"{label}-{v}", 90, "spdx-license-identifier", rf"{line}(?P<at>{re.escape(registry)}-{re.escape(v)}(?:-only|-or-later|\+)?)(?![.\d]*\d)"))
     for label, keyword, pattern in BODIES:
         out.append(Rule(label, 75, keyword, pattern))
     grid = {"by": "attribution", "by-sa": "attribution[ -]sharealike", "by-nd": "attribution[ -]noderiv(?:ative)?s?", "by-nc": "attribution[ -]noncommercial", "by-nc-sa": "attribution[ -]noncommercial[ -]sharealike", "by-nc-nd": "attribution[ -]noncommercial[ -]noderiv(?:ative)?s?"}
@@ -168,7 +177,7 @@ class Scanner:
     def __init__(self):
         import ahocorasick
 
-        self.rules = [(r, re.compile(r.pattern)) for r in rules()]
+        self.rules = [(r, r.compiled()) for r in rules()]
         by_keyword: dict[str, list[int]] = {}
         for k, (r, _) in enumerate(self.rules):
             by_keyword.setdefault(r.keyword, []).append(k)
@@ -180,14 +189,29 @@ class Scanner:
 
     def detections(self, text: str) -> list[tuple[int, int, Rule]]:
         """Start, end and rule of what stays, by place, in the lower-cased ``text``."""
-        wanted = {k for _, of in self.gate.iter(text) for k in of}
-        found = [(m.start(), m.end(), self.rules[k][0], k) for k in wanted for m in self.rules[k][1].finditer(text)]
-        found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[3]))
+        wanted = {k for _, of in self.gate.iter(_SPACES.sub(" ", text)) for k in of}
+        found = []
+        for k in wanted:
+            rule, pattern = self.rules[k]
+            group = "at" if "at" in pattern.groupindex else 0
+            found += [(*m.span(group), rule, k) for m in pattern.finditer(text)]
+        found.sort(key=lambda d: (d[0], d[1]))
+        kept: list[tuple[int, int, Rule]] = []
+        run: list[tuple[int, int, Rule, int]] = []  # detections that overlap in a chain: only these can hold each other
+        for d in found:
+            if run and d[0] >= max(x[1] for x in run):
+                kept += self._settled(run)
+                run = []
+            run.append(d)
+        return sorted(kept + self._settled(run), key=lambda d: (d[0], d[1], d[2].label))
+
+    @staticmethod
+    def _settled(run: list[tuple[int, int, Rule, int]]) -> list[tuple[int, int, Rule]]:
         kept: list[tuple[int, int, Rule]] = []
-        for start, end, rule, _ in found:
-            if not any(a <= start and end <= b for a, b, _ in kept):
+        for start, end, rule, _ in sorted(run, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[3])):
+            if not any(a <= start and end <= b or start <= a and b <= end for a, b, _ in kept):
                 kept.append((start, end, rule))
-        return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
+        return kept
 
     def scan(self, text: str | None) -> dict:
         text = (text or "").translate(_LOWER)

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import decontam, html_extract, jaccard_join, licenses, line_dedup, pieces, quality, substring_dedup, token_counts, token_store, words
@@ -83,8 +85,13 @@ def test_quality_order_does_not_change_the_verdict(docs):
 
 def test_quality_ranks_by_rejection_per_cost(docs):
     rows = quality.measures(docs.select("doc_id", "text"))
-    ranked = quality.profile(rows, quality.default_rules())
+    t = F.coalesce("text", F.lit(""))
+    slow = F.length(F.regexp_replace(F.concat(*[t] * 20), r"\p{L}+\d", "")) < 0
+    some = [quality.Rule("slow", slow | (F.col("n_words") > 0)), quality.Rule("never", F.lit(False)), quality.Rule("cheap", F.col("n_words") > 0)]
+    ranked = quality.profile(rows, [*quality.default_rules(), *some])
     assert [p.rank for p in ranked] == sorted((p.rank for p in ranked), reverse=True)
+    at = {p.rule.name: p for p in ranked}
+    assert at["cheap"].rejected == at["slow"].rejected > 0 == at["never"].rank and at["slow"].seconds > at["cheap"].seconds and at["cheap"].rank > at["slow"].rank
 
 
 def test_line_dedup(spark):
@@ -347,6 +354,68 @@ def test_contained_detections_go():
     assert all(not (a <= c and d <= b) for a, b, x in kept for c, d, y in kept if (a, b, x) != (c, d, y))
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: MIT OR GPL-2.0-or-later WITH x", "gpl-2.0,mit"),
+        ("spdx-license-identifier: LGPL-2.1-only", "lgpl-2.1"),
+        ("Do What The Fuck You Want To Public License", "wtfpl"),
+        ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED', "mit"),
+        ("# under the Mozilla\n# Public License 2.0", "mpl-2.0"),
+        (" * Redistribution and use in source and\n * binary forms, with or without modification", "bsd"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+        ("the Eclipse  Public\tLicense", "epl"),
+        ("a license to thrill and the public good", ""),
+    ],
+)
+def test_license_labels(text, labels):
+    got = licenses.scanner().scan(text)
+    assert got["labels"] == labels
+    for s in got["spans"]:
+        assert 0 <= s["start"] < s["stop"] <= len(text)
+
+
+def _samples(pattern, r):
+    """A text that ``pattern`` matches, with one choice of each alternative."""
+    import re._constants as c
+    import re._parser as parser
+
+    def made(items):
+        out = []
+        for op, value in items:
+            if op is c.LITERAL:
+                out.append(chr(value))
+            elif op is c.SUBPATTERN:
+                out.append(made(value[3]))
+            elif op is c.BRANCH:
+                out.append(made(r.choice(value[1])))
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                out.append("".join(made(value[2]) for _ in range(r.randint(value[0], min(value[1], value[0] + 1)))))
+            elif op is c.IN:
+                kind, first = value[0]
+                out.append({c.LITERAL: lambda: chr(first), c.RANGE: lambda: chr(first[0]), c.CATEGORY: lambda: {c.CATEGORY_SPACE: " ", c.CATEGORY_DIGIT: "1", c.CATEGORY_WORD: "a"}[first], c.NEGATE: lambda: "("}[kind]())
+            elif op is c.ANY:
+                out.append("x")
+        return "".join(out)
+
+    return made(parser.parse(pattern))
+
+
+def test_every_rule_finds_what_it_names_behind_its_keyword():
+    r, scan = random.Random(2), licenses.scanner()
+    for k, (rule, pattern) in enumerate(scan.rules):
+        hits = 0
+        for _ in range(12):
+            text = _samples(rule.pattern, r)
+            for x in (text, text.replace(" ", "\n * "), text.replace(" ", "  ")):
+                if pattern.search(x):
+                    hits += 1
+                    assert rule.keyword in licenses._SPACES.sub(" ", x), (rule, x)
+                    assert k in {j for _, of in scan.gate.iter(licenses._SPACES.sub(" ", x)) for j in of}
+        assert hits, rule
+
+
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies to serve you</p></div><article><h1>Head &amp; tail</h1><p>First   <b>bold</b>
  words &eacute;<p>Second &lt;p&gt; words that run on for a while so that they look like prose<div class="ad">Buy now</div><p>Third and last words of it</article>
@@ -367,6 +436,21 @@ def test_html_trees_on_held_out_pages():
     assert sum(g == "\n".join(m) for g, (_, m) in zip(got, pages, strict=True)) > 120
 
 
+def _labellings(nodes, odds):
+    """Brute force: the score and kept nodes of the best labelling without contradictions."""
+    main, other = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+    best = None
+    for labels in itertools.product(range(3), repeat=len(nodes)):
+        if any((labels[x.parent], lab) in ((1, 0), (2, 0), (2, 1)) for x, lab in zip(nodes[1:], labels[1:], strict=True)):
+            continue
+        if any(lab < 2 and odds[k] < html_extract.REJECTED and nodes[k].tag not in ("html", "body") for k, lab in enumerate(labels)):
+            continue
+        score = sum((1.0 if x.texts else 0.25) * (np.log(0.5) * (4 if x.texts else 1), main[k], other[k])[lab] for k, (x, lab) in enumerate(zip(nodes, labels, strict=True)))
+        if best is None or score > best[0] + 1e-12:
+            best = score, [lab == 1 or (lab == 0 and bool(nodes[k].texts) and odds[k] > 0) for k, lab in enumerate(labels)]
+    return best[1]
+
+
 def test_no_contradictions_between_ancestors():
     nodes, _ = html_extract.parse("<nav><div class='content article'><p>" + "words " * 50 + "</p></div></nav><article><p>text of it</p></article>")
     odds = np.array([-9.0 if n.tag == "nav" else 3.0 for n in nodes])
@@ -375,7 +459,36 @@ def test_no_contradictions_between_ancestors():
     for k, n in enumerate(nodes):
         if n.parent in other:
             other.add(k)
-    assert not any(keep[k] for k in other) or all(odds[k] > 0 for k in other if keep[k])
+    assert len(other) == 3 and not any(keep[k] for k in other) and any(keep)
+    r = random.Random(6)
+    pages = ["<div><p>a b c</p><nav><p>d</p></nav></div><p>e</p>", "<body>own<div>x<p>y</p></div></body>", "<ul><li>a</li><li><p>b</p></li></ul><footer><p>c</p></footer>"]
+    for _ in range(60):
+        nodes, _ = html_extract.parse(r.choice(pages))
+        odds = np.array([r.uniform(-7, 5) for _ in nodes])
+        assert html_extract.decode(nodes, odds) == _labellings(nodes, odds)
+
+
+UNSEEN = """<html><body><div class="zq1"><a href=/>{0}</a> <a href=/b>{1}</a> <a href=/c>{2}</a></div><article class="k7"><h1>{3}</h1><p>{4}</p><p>{5}</p></article>
+<footer class="w9"><p>{6}</p></footer></body></html>"""
+
+
+def test_html_layout_with_unseen_names():
+    r = random.Random(12)
+    got = 0
+    for _ in range(40):
+        say = [_say(r, n) for n in (1, 2, 1, 6, 40, 55, 9)]
+        got += html_extract.extract([UNSEEN.format(*say)]) == ["\n".join(say[3:6])]
+    assert got >= 36
+
+
+def test_html_repeated_empty_and_long_pages(spark):
+    schema = "page_id long, url string, html string"
+    assert html_extract.html_text(spark.createDataFrame([], schema)).count() == 0
+    body = "".join(f"<p>paragraph {k} of a very long article with many words in it</p>" for k in range(5000))
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, PAGE), (2, "v", f"<article>{body}</article>")]
+    got = html_extract.html_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 4 and len({r.text for r in got}) == 2
+    assert [r.text.count("\n") for r in got if r.page_id == 2] == [4999]
 
 
 def test_empty_tables(spark, empty):
