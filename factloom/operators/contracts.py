@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that mark the halves of a pair; fixed values.
-ACQUIRE = ("acquire", "alloc", "create", "open", "init", "lock", "begin", "new", "get", "start")
-RELEASE = ("release", "free", "destroy", "close", "deinit", "unlock", "end", "delete", "put", "stop")
+ACQUIRE = ("acquire", "acquires", "acquired", "acquiring", "tryacquire", "try", "lock", "locks", "locked", "locking")
+RELEASE = ("release", "releases", "released", "releasing", "unlock", "unlocks", "unlocked", "unlocking")
+#: Words of a name in camel or snake case; a run of capitals is one word. Fixed value.
+NAME_WORDS = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
 
 
 def agreed_callees(calls: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def agreed_callees(calls: DataFrame) -> DataFrame:
 
 def words(name: Column) -> Column:
     """Lower-cased words of a name in camel or snake case."""
-    return F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(name, F.lit(NAME_WORDS), F.lit(0)), F.lower)
 
 
 def pair_half(name: Column) -> Column:
@@ -33,8 +35,8 @@ def pair_half(name: Column) -> Column:
 
 
 def pair_stem(name: Column) -> Column:
-    """The name's words without those of its half, joined by _; null without a half or if none is left."""
-    rest = F.array_join(F.array_except(words(name), F.array(*map(F.lit, ACQUIRE + RELEASE))), "_")
+    """The name's words without those of its half, joined; null without a half or if none is left."""
+    rest = F.array_join(F.filter(words(name), lambda w: ~w.isin(*ACQUIRE, *RELEASE)), "")
     return F.when(pair_half(name).isNotNull() & (rest != ""), rest)
 
 

@@ -18,9 +18,11 @@ def capture(base: DataFrame, target: DataFrame, key: str, columns: list[str]) ->
 
 
 def upsert(deltas: DataFrame, order: str) -> DataFrame:
-    """The last delta of each (entity_type, entity_id) by ``order``. A tombstone must not hold a value."""
+    """The last delta of each (entity_type, entity_id) by ``order``. A tombstone that holds a value is refused: the job fails."""
     last = F.row_number().over(W.partitionBy("entity_type", "entity_id").orderBy(F.desc(order)))
-    return deltas.where("operation <> 'DELETE' or new_value is null").withColumn("_k", last).where("_k = 1").drop("_k")
+    bad = (F.col("operation") == "DELETE") & F.col("new_value").isNotNull()
+    sound = F.when(bad, F.raise_error(F.lit("a tombstone holds a value")).cast("boolean")).otherwise(F.lit(True))
+    return deltas.where(sound).withColumn("_k", last).where("_k = 1").drop("_k")
 
 
 def read(base: DataFrame, *layers: DataFrame, key: str = "entity_id") -> DataFrame:

@@ -5,56 +5,82 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Confidence of each way to resolve; fixed values.
-CONFIDENCE = {"same_file": 0.98, "qualified": 0.99, "module": 1.0, "global": 0.75}
+#: Confidence of each way to resolve, in order; fixed values.
+CONFIDENCE = {"same_file": 0.98, "qualified": 0.99, "module": 1.0, "alias": 0.95, "global": 0.75}
+#: Ways that take the only definition among candidates of one signature; the others need a single candidate.
+_BY_DEFINITION = ("qualified", "module")
+#: Symbols that a use of a type can't mean.
+CALLABLE = ("Function", "Method", "Constructor")
 
 
-def _select(found: DataFrame) -> DataFrame:
-    """(id, picked, candidates): one distinct candidate, or one signature with exactly one definition."""
+def _select(found: DataFrame, *key: str) -> DataFrame:
+    """``key``, picked and candidates: one distinct candidate, or for some ways one signature with exactly one definition."""
     sole = F.when(F.size("candidates") == 1, F.col("candidates")[0])
-    defined = F.when((F.col("signatures") == 1) & (F.size("defined") == 1), F.col("defined")[0])
-    rows = found.groupBy("id").agg(
+    defined = F.when(F.col("way").isin(*_BY_DEFINITION) & (F.col("signatures") == 1) & (F.size("defined") == 1), F.col("defined")[0])
+    rows = found.groupBy(*key, "way").agg(
         F.array_sort(F.collect_set("node")).alias("candidates"),
-        F.countDistinct("signature").alias("signatures"),
+        F.size(F.collect_set("signature")).alias("signatures"),
         F.collect_set(F.when(F.col("definition"), F.col("node"))).alias("defined"),
     )
-    return rows.select("id", F.coalesce(sole, defined).alias("picked"), "candidates")
+    return rows.select(*key, "way", F.struct(F.coalesce(sole, defined).alias("picked"), "candidates").alias("met"))
 
 
-def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """status (resolved, ambiguous, unresolved), candidates (sorted), resolved_id, strategy and confidence of every
     reference.
 
-    Order of the lookups: indirect calls stay unresolved; a symbol of the same file with the name (several: ambiguous);
-    the qualified name; module and name; the name anywhere. Names are looked up once each, not once a reference, so a
-    name that a third of all references use is one row of the lookup and the references meet it in a join that Spark
-    can split. A reference never resolves to its owner.
+    Order of the lookups, of which the first that finds a candidate decides: indirect calls stay unresolved; a symbol of
+    the same file with the last part of the name; the qualified name; module and name; what ``imports(file, local,
+    module, target)`` binds to the name in the file; the last part of the name anywhere. Several candidates are
+    ambiguous, but for qualified names of which one signature has a single definition. References with a true
+    ``type_use`` mean no callable in the lookups by last part, and those with a true ``receiver_unsafe`` (a call on an
+    unknown receiver) are never bound by them: their candidates stay ambiguous. Both columns may be missing. Names are
+    looked up once each, in one union and one grouping, not once a reference, so a name that a third of all references
+    use is one row of the lookup and the references meet it in a join that Spark can split. A reference never resolves
+    to its owner.
     """
-    s = symbols.select(F.col("id").alias("node"), "name", "qualified_name", F.col("file").alias("node_file"), "signature", "definition")
-    names = references.select("raw_name", "target_module", "file").distinct().withColumn("id", F.xxhash64("raw_name", "target_module", "file"))
-    ladder = [
-        ("same_file", s.join(names, (s["name"] == names["raw_name"]) & (s["node_file"] == names["file"]))),
-        ("qualified", s.join(names, s["qualified_name"] == names["raw_name"])),
-        ("module", s.join(names, s["qualified_name"] == F.concat_ws(".", names["target_module"], names["raw_name"])).where("target_module is not null")),
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(f"_{c}") if c in references.columns else F.lit(False).alias(f"_{c}") for c in ("type_use", "receiver_unsafe")]
+    refs = references.select("*", *flags)
+    s = symbols.select(F.col("id").alias("node"), "name", "qualified_name", F.col("file").alias("node_file"), "signature", "definition", *(["kind"] if "kind" in symbols.columns else [F.lit("").alias("kind")]))
+    target = F.regexp_replace("raw_name", r"^\.+|\.+$", "")
+    names = refs.select("raw_name", "target_module", "file", "_type_use").distinct()
+    names = names.withColumn("target", target).withColumn("short", F.element_at(F.split("target", r"\."), -1)).withColumn("id", F.xxhash64("raw_name", "target_module", "file", "_type_use"))
+    fits = ~F.col("_type_use") | ~F.col("kind").isin(*CALLABLE)
+    cols = ("id", "node", "signature", "definition")
+    met = [
+        ("same_file", names.join(s, (s["name"] == names["short"]) & (s["node_file"] == names["file"])).where(fits)),
+        ("qualified", names.join(s, s["qualified_name"] == names["target"])),
+        ("module", names.where("target_module is not null").join(s, s["qualified_name"] == F.concat_ws(".", names["target_module"], names["target"]))),
     ]
-    looked = names
-    for way, met in ladder:
-        looked = looked.join(_select(met).select("id", F.struct("picked", "candidates").alias(way)), "id", "left")
-    anywhere = symbols.select(F.col("name").alias("raw_name"), F.col("id").alias("node"), "signature", "definition").join(names.select("raw_name").distinct(), "raw_name", "left_semi").withColumnRenamed("raw_name", "id")
-    looked = looked.join(_select(anywhere).select(F.col("id").alias("raw_name"), F.struct("picked", "candidates").alias("global")), "raw_name", "left")
-    rows = references.join(looked.drop("id"), (references["raw_name"] == looked["raw_name"]) & references["target_module"].eqNullSafe(looked["target_module"]) & (references["file"] == looked["file"])).select(references["*"], *(looked[w] for w in CONFIDENCE))
+    if imports is not None:
+        bound = imports.select(F.col("file").alias("_file"), "local", F.concat_ws(".", "module", F.col("target")).alias("_whole"))
+        local = names.join(bound, (bound["_file"] == names["file"]) & ((bound["local"] == names["target"]) | (bound["local"] == names["short"])))
+        met.append(("alias", local.join(s, s["qualified_name"] == local["_whole"])))
+    rows = None
+    for way, found in met:
+        part = found.select(*cols, F.lit(way).alias("way"))
+        rows = part if rows is None else rows.unionByName(part)
+    ways = [w for w in CONFIDENCE if w in dict(met)]
+    near = _select(rows, "id").groupBy("id").agg(*(F.first(F.when(F.col("way") == w, F.col("met")), True).alias(w) for w in ways))
+    asked = names.select("short", "_type_use").distinct()
+    anywhere = asked.join(s, s["name"] == asked["short"]).where(fits).select("short", "_type_use", "node", "signature", "definition", F.lit("global").alias("way"))
+    wide = _select(anywhere, "short", "_type_use").select("short", "_type_use", F.col("met").alias("global"))
+    looked = names.join(near, "id", "left").join(wide, ["short", "_type_use"], "left")
+    ways.append("global")
+    same = (refs["raw_name"] == looked["raw_name"]) & refs["target_module"].eqNullSafe(looked["target_module"]) & (refs["file"] == looked["file"]) & (refs["_type_use"] == looked["_type_use"])
+    out = refs.join(looked, same).select(refs["*"], *(looked[w] for w in ways))
     way = F.when(F.col("call_kind") == "indirect", F.lit(None).cast("string"))
-    for name in CONFIDENCE:
+    for name in ways:
         way = way.when(F.col(name).isNotNull(), F.lit(name))
-    rows = rows.withColumn("strategy", way)
-    chosen = F.coalesce(*(F.when(F.col("strategy") == w, F.col(w)) for w in CONFIDENCE))
-    rows = rows.withColumn("chosen", chosen)
+    out = out.withColumn("strategy", way)
+    out = out.withColumn("chosen", F.coalesce(*(F.when(F.col("strategy") == w, F.col(w)) for w in ways)))
+    unsafe = F.col("_receiver_unsafe") & F.col("strategy").isin("same_file", "global")
     found = F.array_remove(F.coalesce("chosen.candidates", F.array().cast("array<string>")), F.col("owner_id"))
-    picked = F.when(F.col("chosen.picked") != F.col("owner_id"), F.col("chosen.picked"))
-    rows = rows.withColumn("candidates", found).withColumn("resolved_id", picked)
-    state = F.when(F.col("resolved_id").isNotNull(), "resolved").when((F.size("candidates") > 0) & F.col("chosen.picked").isNull(), "ambiguous").otherwise("unresolved")
-    rows = rows.withColumn("status", state)
+    picked = F.when((F.col("chosen.picked") != F.col("owner_id")) & ~unsafe, F.col("chosen.picked"))
+    out = out.withColumn("candidates", found).withColumn("resolved_id", picked)
+    state = F.when(F.col("resolved_id").isNotNull(), "resolved").when((F.size("candidates") > 0) & (F.col("chosen.picked").isNull() | unsafe), "ambiguous").otherwise("unresolved")
+    out = out.withColumn("status", state)
     sure = F.lit(0.0)
     for name, value in CONFIDENCE.items():
         sure = F.when((F.col("status") == "resolved") & (F.col("strategy") == name), F.lit(value)).otherwise(sure)
-    return rows.withColumn("confidence", sure).drop("chosen", *CONFIDENCE)
+    return out.withColumn("confidence", sure).drop("chosen", "_type_use", "_receiver_unsafe", *ways)

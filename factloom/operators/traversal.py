@@ -38,25 +38,24 @@ def subgraph(edges: DataFrame, anchor: str, hops: int = 2, most: int = 100) -> D
     return seen
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
-    """(start, node) for every node that a path from a start reaches, up to ``rounds`` steps; rounds end when nothing is new."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) for every node that a path from a start reaches; a round for each step, until nothing is new."""
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     front = scratch.stored(starts.select(F.col("start"), F.col("start").alias("node")), "reach")
     seen = front.limit(0)
-    for _ in range(rounds):
+    while True:
         new = front.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         front = scratch.stored(new, "reach")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        seen = scratch.stored(seen.unionByName(front), "reached")
 
 
 def find_paths(edges: DataFrame, marks: DataFrame, most_hops: int = 64, most_paths: int = 8) -> DataFrame:
     """Simple paths of each owner from its start points to its targets that meet no blocked point.
 
     ``edges(owner, src, dst)``, ``marks(owner, point, is_start, is_target, is_blocked)``. Breadth first; starts and
-    neighbours in order; a target is recorded and walked through; the search of an owner ends at ``most_paths``, with
+    neighbours in order; only points that can still reach a target are entered; a target is recorded and walked through; the search of an owner ends at ``most_paths``, with
     truncated if work was left. owner, length, path (points joined by ">"), truncated. An owner's points meet in one
     task: owners are methods, whose size doesn't grow with the corpus.
     """
@@ -69,6 +68,15 @@ def find_paths(edges: DataFrame, marks: DataFrame, most_hops: int = 64, most_pat
             out.setdefault(a, []).append(b)
         target = set(rows["a"][kind == 2].tolist())
         blocked = set(rows["a"][kind == 3].tolist())
+        back: dict[int, list[int]] = {}
+        for a, following in out.items():
+            for b in following:
+                back.setdefault(b, []).append(a)
+        useful, front = set(target), list(target)
+        while front:
+            before = [a for a in back.get(front.pop(), ()) if a not in useful]
+            useful.update(before)
+            front.extend(before)
         found: list[list[int]] = []
         queue = deque([s] for s in sorted(set(rows["a"][kind == 1].tolist())))
         while queue and len(found) < most_paths:
@@ -78,7 +86,7 @@ def find_paths(edges: DataFrame, marks: DataFrame, most_hops: int = 64, most_pat
                 if len(found) >= most_paths:
                     break
             if len(path) - 1 < most_hops:
-                queue.extend([*path, n] for n in out.get(path[-1], ()) if n not in path and n not in blocked)
+                queue.extend([*path, n] for n in out.get(path[-1], ()) if n in useful and n not in path and n not in blocked)
         found.sort(key=lambda p: (len(p), p))
         owner = rows["owner"].iloc[0]
         text = lambda values: pd.Series(values, dtype=object)

@@ -137,13 +137,13 @@ def shard_dependents(g: Facts) -> DataFrame:
 # Reference resolution
 
 _LADDER = """WITH f AS (SELECT id AS node, name, qualified_name, file AS node_file, signature, definition FROM nodes),
-u AS (SELECT DISTINCT raw_name, target_module, file FROM raw_references),
-w AS (SELECT raw_name, target_module, file, 1 AS tier, node, signature, definition FROM u JOIN f ON name = raw_name AND node_file = file
+u AS (SELECT DISTINCT raw_name, target_module, file, string_split(raw_name, '.')[-1] AS short FROM raw_references),
+w AS (SELECT raw_name, target_module, file, 1 AS tier, node, signature, definition FROM u JOIN f ON name = short AND node_file = file
       UNION ALL SELECT raw_name, target_module, file, 2, node, signature, definition FROM u JOIN f ON qualified_name = raw_name
       UNION ALL SELECT raw_name, target_module, file, 3, node, signature, definition FROM u JOIN f ON qualified_name = target_module || '.' || raw_name
-      UNION ALL SELECT raw_name, target_module, file, 4, node, signature, definition FROM u JOIN f ON name = raw_name),
+      UNION ALL SELECT raw_name, target_module, file, 4, node, signature, definition FROM u JOIN f ON name = short),
 t AS (SELECT raw_name, target_module, file, tier, list_sort(list(DISTINCT node)) AS candidates, count(DISTINCT signature) AS sigs, list(DISTINCT node) FILTER (WHERE definition) AS defs FROM w GROUP BY ALL),
-p AS (SELECT *, CASE WHEN len(candidates) = 1 THEN candidates[1] WHEN sigs = 1 AND len(defs) = 1 THEN defs[1] END AS picked, row_number() OVER (PARTITION BY raw_name, target_module, file ORDER BY tier) AS k FROM t),
+p AS (SELECT *, CASE WHEN len(candidates) = 1 THEN candidates[1] WHEN tier IN (2, 3) AND sigs = 1 AND len(defs) = 1 THEN defs[1] END AS picked, row_number() OVER (PARTITION BY raw_name, target_module, file ORDER BY tier) AS k FROM t),
 r AS (SELECT r.id, r.owner_id, r.call_kind, CASE WHEN call_kind = 'indirect' THEN NULL ELSE tier END AS tier, CASE WHEN call_kind <> 'indirect' THEN picked END AS picked, CASE WHEN call_kind <> 'indirect' THEN len(candidates) ELSE 0 END AS n
       FROM raw_references r LEFT JOIN p ON r.raw_name = p.raw_name AND r.target_module IS NOT DISTINCT FROM p.target_module AND r.file = p.file AND k = 1),
 s AS (SELECT *, CASE WHEN picked IS NOT NULL THEN 'resolved' WHEN coalesce(n, 0) > 0 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM r)
@@ -589,10 +589,10 @@ def agreed_callees(g: Facts) -> DataFrame:
     return contracts.agreed_callees(calls)
 
 
-_NAMED = "WITH f AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'acquire_' WHEN 1 THEN 'free_' ELSE 'use_' END || replace(p_name, ' ', '_') AS name, p_size % 5 AS subject FROM part) "
+_NAMED = "WITH f AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'acquire_' WHEN 1 THEN 'release_' ELSE 'use_' END || replace(p_name, ' ', '_') AS name, p_size % 5 AS subject FROM part) "
 
 
-@_query(_NAMED + ", h AS (SELECT DISTINCT name, subject, split_part(name, '_', 1) AS half, substr(name, strpos(name, '_') + 1) AS stem FROM f) SELECT DISTINCT a.stem, a.name AS acquire, r.name AS release FROM h a JOIN h r USING (stem, subject) WHERE a.half = 'acquire' AND r.half = 'free' AND NOT contains(r.name, '_new_')")
+@_query(_NAMED + ", h AS (SELECT DISTINCT name, subject, split_part(name, '_', 1) AS half, replace(substr(name, strpos(name, '_') + 1), '_', '') AS stem FROM f) SELECT DISTINCT a.stem, a.name AS acquire, r.name AS release FROM h a JOIN h r USING (stem, subject) WHERE a.half = 'acquire' AND r.half = 'release'")
 def acquire_release_pairs(g: Facts) -> DataFrame:
     part = g.table("part")
     return contracts.pairs(g.spark.sql(_NAMED.replace("FROM part", "FROM {part}") + "SELECT name, subject FROM f", part=part))

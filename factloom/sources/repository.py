@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that a scan leaves out; fixed values.
-IGNORED = (".git", ".hg", ".svn", ".tox", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "target")
+IGNORED = (
+    ".git", ".hg", ".mypy_cache", ".factloom", ".pytest_cache", ".tox", ".venv", "__pycache__", "build", ".cache", "deps", "dist", "node_modules", "out", "target", "third_party",
+    "third-party", "vendor", "venv",
+)
 #: Languages by file suffix; fixed values.
-LANGUAGES = {".py": "python", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hh": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".java": "java"}
+LANGUAGES = {
+    ".py": "python", ".pyi": "python", ".h": "cpp", ".hh": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".inc": "cpp", ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".c++": "cpp", ".java": "java",
+}
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

@@ -56,9 +56,12 @@ def test_overlay_round_trip(spark):
 
 
 def test_upsert_keeps_the_last_and_rejects_tombstones_with_values(spark):
-    rows = [("n", "1", "ADD", "x", 1), ("n", "1", "UPDATE", "y", 2), ("n", "2", "DELETE", "z", 1)]
-    got = overlay.upsert(spark.createDataFrame(rows, "entity_type string, entity_id string, operation string, new_value string, seq int"), "seq")
-    assert [(r.entity_id, r.new_value) for r in got.collect()] == [("1", "y")]
+    rows = [("n", "1", "ADD", "x", 1), ("n", "1", "UPDATE", "y", 2), ("n", "2", "DELETE", None, 1)]
+    schema = "entity_type string, entity_id string, operation string, new_value string, seq int"
+    got = overlay.upsert(spark.createDataFrame(rows, schema), "seq")
+    assert sorted((r.entity_id, r.new_value) for r in got.collect()) == [("1", "y"), ("2", None)]
+    with pytest.raises(Exception, match="a tombstone holds a value"):
+        overlay.upsert(spark.createDataFrame([*rows, ("n", "3", "DELETE", "z", 1)], schema), "seq").collect()
 
 
 def _paths(edges, starts, targets, blocked, hops, most):
@@ -145,7 +148,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_contract_names(spark):
     from factloom.operators import contracts
 
-    rows = spark.createDataFrame([("openFile", "(int a, void (*cb)(int, int), char *s = 0)"), ("file_close", "(self, x: dict[str, int] = {}, *args)"), ("lock_release", "(void)"), ("read", None)], "name string, signature string")
+    rows = spark.createDataFrame([("lockFile", "(int a, void (*cb)(int, int), char *s = 0)"), ("file_unlocked", "(self, x: dict[str, int] = {}, *args)"), ("lock_release", "(void)"), ("read", None)], "name string, signature string")
     got = [(r.half, r.stem, r.p) for r in rows.select(contracts.pair_half(F.col("name")).alias("half"), contracts.pair_stem(F.col("name")).alias("stem"), contracts.parameters("signature").alias("p")).collect()]
     assert got[0][:2] == ("acquire", "file") and got[1] == ("release", "file", ["self", "x", "args"]) and got[2] == (None, None, []) and got[3] == (None, None, [])
     assert got[0][2] == ["a", "cb", "s"]
