@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +70,7 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
     wide = _select(anywhere, "short", "_type_use").select("short", "_type_use", F.col("met").alias("global"))
     looked = names.join(near, "id", "left").join(wide, ["short", "_type_use"], "left")
     ways.append("global")
-    same = (refs["raw_name"] == looked["raw_name"]) & refs["target_module"].eqNullSafe(looked["target_module"]) & (refs["file"] == looked["file"]) & (refs["_type_use"] == looked["_type_use"])
+    same = (refs["_type_use"] == looked["_type_use"]) & functools.reduce(operator.and_, (refs[c].eqNullSafe(looked[c]) for c in ("raw_name", "target_module", "file")))
     out = refs.join(looked, same).select(refs["*"], *(looked[w] for w in ways))
     way = F.when(F.col("call_kind") == "indirect", F.lit(None).cast("string"))
     for name in ways:

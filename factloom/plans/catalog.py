@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids
-from factloom.operators import concurrency, contracts, dataflow, defects, evidence, governance, incremental, knowledge, lookup, neighbours, overlay, projection, resolve, shards, spans, traversal
+from factloom.operators import branches, concurrency, contracts, dataflow, defects, evidence, governance, incremental, knowledge, lookup, neighbours, overlay, projection, resolve, shards, spans, traversal
 from factloom.sources.facts import Facts, duckdb_with
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -662,6 +662,59 @@ def trace_chain(g: Facts) -> DataFrame:
     return projection.trace(_cited(g), dataflow.held_locks(g.locks)).select("candidate", F.col("number").cast("long").alias("number"), "step")
 
 
+# Control flow with branches: an owner's points in order, with a jump over two points where a check fails
+
+_FLOW = """WITH q AS (SELECT owner, event_id AS point, type, CAST(subject AS BIGINT) AS subject, position, lead(event_id) OVER w AS one, lead(event_id, 3) OVER w AS far FROM points WINDOW w AS (PARTITION BY owner ORDER BY position)),
+x AS (SELECT owner, -min(point) - 1 AS exit FROM q GROUP BY owner),
+e AS (SELECT owner, point AS src, coalesce(one, exit) AS dst, CAST(NULL AS BIGINT) AS null_of FROM q JOIN x USING (owner)
+      UNION ALL SELECT owner, point, coalesce(far, exit), subject FROM q JOIN x USING (owner) WHERE type = 'CHECK'),
+p AS (SELECT owner, point, type, subject FROM q UNION ALL SELECT owner, exit, 'EXIT', NULL FROM x)
+"""
+
+
+def _flow(g: Facts) -> tuple[DataFrame, DataFrame]:
+    of = "over (partition by owner order by position)"
+    q = g.points.selectExpr("owner", "event_id as point", "type", "cast(subject as long) as subject", f"lead(event_id) {of} as one", f"lead(event_id, 3) {of} as far", "-min(event_id) over (partition by owner) - 1 as exit")
+    step = q.selectExpr("owner", "point as src", "coalesce(one, exit) as dst", "cast(null as long) as null_of")
+    jump = q.where("type = 'CHECK'").selectExpr("owner", "point as src", "coalesce(far, exit) as dst", "subject as null_of")
+    edges = step.unionByName(jump)
+    return edges, branches.materialize_points(q, edges)
+
+
+def _reach(start: str, target: str, cut: str, first: str = "", skip: str = "") -> str:
+    return _FLOW + f""", r AS (SELECT s.owner, s.subject, s.point AS start, e.dst AS node FROM p s JOIN e ON e.src = s.point WHERE s.type = '{start}'{first}
+      UNION SELECT r.owner, r.subject, r.start, e.dst FROM r JOIN p c ON c.point = r.node JOIN e ON e.src = r.node WHERE NOT (c.type IN ({cut}) AND c.subject = r.subject){skip})
+SELECT DISTINCT r.owner, r.subject, r.start, r.node AS target FROM r JOIN p t ON t.point = r.node WHERE t.type = '{target}'""" + ("" if target == "EXIT" else " AND t.subject = r.subject")
+
+
+_SKIP = " AND e.null_of IS DISTINCT FROM {}.subject"
+
+
+@_query(_reach("ALLOC", "EXIT", "'RELEASE'", _SKIP.format("s"), _SKIP.format("r")), ("points",))
+def unreleased_resources(g: Facts) -> DataFrame:
+    return branches.unreleased(*_flow(g))
+
+
+@_query(_reach("CHECK", "DEREFERENCE", "'ALLOC', 'WRITE'", " AND e.null_of = s.subject"), ("points",))
+def unchecked_dereferences(g: Facts) -> DataFrame:
+    return branches.unchecked_dereferences(*_flow(g))
+
+
+@_query(_reach("RELEASE", "DEREFERENCE", "'ALLOC', 'WRITE'"), ("points",))
+def branch_use_after_release(g: Facts) -> DataFrame:
+    return branches.use_after_release(*_flow(g))
+
+
+@_query(_reach("RELEASE", "RELEASE", "'ALLOC', 'WRITE'"), ("points",))
+def branch_double_release(g: Facts) -> DataFrame:
+    return branches.double_release(*_flow(g))
+
+
+@_query(_FLOW + "SELECT type, count(*) AS n FROM p GROUP BY type", ("points",))
+def flow_points(g: Facts) -> DataFrame:
+    return _flow(g)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

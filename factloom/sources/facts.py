@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom import scratch
+
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations benchmark".split()
 
 
@@ -64,8 +66,28 @@ def duckdb_with(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({made[n]})" for n in names)
 
 
+#: Fact tables that are written once and then read by all queries, and the column that their files are split by.
+STORED = {"nodes": "kind", "edges": "type", "raw_references": "call_kind"}
+_PLACES: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file of the tables below ``folder``, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 class Facts:
-    """Fact tables of one folder of Parquet tables, as DataFrames; columns that a query doesn't use are never read."""
+    """Fact tables of one folder of Parquet tables, as DataFrames; columns that a query doesn't use are never read.
+
+    Nodes, edges and references are made once for a session and stored in the shared folder, split by kind, so that a
+    lookup reads the files of its kinds only; they are made anew when a file below the folder has changed.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.folder = spark, sf_dir
@@ -74,14 +96,25 @@ class Facts:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def _made(self, name: str) -> DataFrame:
         import re
 
-        if name.startswith("_") or name not in self._sql:
-            raise AttributeError(name)
         text = self._sql[name]
         used = {t for t in (*TABLES, *self._sql) if re.search(rf"(?:FROM|JOIN) {t}\b", text)}
         frames = {t: (self.table(t) if t in TABLES else getattr(self, t)) for t in used}
         for t in used:
             text = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
         return self.spark.sql(text, **frames)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._sql:
+            raise AttributeError(name)
+        if name not in STORED:
+            return self._made(name)
+        rows = self._made(name)
+        key = (self.spark.sparkContext.applicationId, scratch.folder(self.spark), _state(self.spark, self.folder), name)
+        if key not in _PLACES:
+            path = scratch.new_path(self.spark, name)
+            rows.write.partitionBy(STORED[name]).parquet(path)
+            _PLACES[key] = path
+        return self.spark.read.schema(rows.schema).parquet(_PLACES[key]).select(rows.columns)

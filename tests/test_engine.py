@@ -248,3 +248,128 @@ def test_race_owners_leave_none_out(spark):
     report = defects.race_report(points).collect()
     assert {(r.subject, r.total, r.truncated) for r in report} == {(1, 40, True), (2, 1, False)}
     assert {(r.writer, r.other) for r in report if r.subject == 1} == {("o0", "o1"), ("o0", "o2"), ("o0", "o3"), ("o1", "o0"), ("o1", "o2"), ("o1", "o3"), ("o2", "o0"), ("o2", "o1"), ("o2", "o3")}
+
+
+FLOW = """
+def f(a, b):
+    x = a
+    while x:
+        if b:
+            break
+        if a:
+            continue
+        x = g(x)
+    for y in b:
+        x += y
+    return x
+
+class C:
+    def m(self):
+        if self.a:
+            return 1
+        def inner():
+            pass
+        return 2
+
+    def t(self):
+        try:
+            pass
+        finally:
+            pass
+
+async def co():
+    return 1
+
+def e(x):
+    for y in x:
+        pass
+    else:
+        pass
+"""
+
+
+def _walks(nodes, edges):
+    """Kinds of statements on every path from ENTRY to EXIT that takes no edge twice."""
+    out, stack = set(), [(0, ())]
+    while stack:
+        at, used = stack.pop()
+        if nodes[at] == "EXIT":
+            out.add("".join(nodes[edges[k][1]][0] for k in used))
+        stack.extend((d, (*used, k)) for k, (s, d, _) in enumerate(edges) if s == at and k not in used)
+    return out
+
+
+def test_control_flow_of_python(spark, tmp_path):
+    from factloom.operators import branches
+    from factloom.sources import control_flow
+
+    (tmp_path / "a.py").write_text(FLOW)
+    (tmp_path / "b.py").write_text("def broken(:")
+    (tmp_path / "c.py").write_text("")
+    (tmp_path / "vendor").mkdir()
+    (tmp_path / "vendor" / "d.py").write_text(FLOW)
+    rows = control_flow.control_flow(repository.scan(spark, str(tmp_path)))
+    got = {r.owner: r for r in rows.collect()}
+    assert {k: r.unsupported for k, r in got.items()} == {"f": None, "C.m": None, "C.m.inner": None, "C.t": "Try", "co": "async", "e": "loop_else"}
+    f = got["f"]
+    kinds = [n.kind for n in f.nodes]
+    edges = [(kinds[e.src], kinds[e.dst], e.kind) for e in f.edges]
+    assert sorted(edges) == sorted(
+        [("ENTRY", "Assign", "next"), ("Assign", "While", "next"), ("While", "If", "true"), ("If", "Break", "true"), ("Break", "For", "break"), ("If", "If", "false"), ("If", "Continue", "true"), ("Continue", "While", "continue")]
+        + [("If", "Assign", "false"), ("Assign", "While", "back"), ("While", "For", "false"), ("For", "AugAssign", "true"), ("AugAssign", "For", "back"), ("For", "Return", "false"), ("Return", "EXIT", "return")]
+    )
+    m = got["C.m"]
+    assert _walks([n.kind for n in m.nodes], [(e.src, e.dst, e.kind) for e in m.edges]) == {"IRE", "IFRE"}
+    assert {e.kind for r in got.values() for e in r.edges} <= set(control_flow.EDGE_KINDS)
+    nodes = rows.select("owner", F.explode("nodes").alias("n")).select("owner", "n.node", "n.kind")
+    flow = rows.select("owner", F.explode("edges").alias("e")).select("owner", "e.src", "e.dst")
+    assert branches.integrity(nodes, flow).count() == 0
+    bad = nodes.where("owner <> 'f' or kind <> 'EXIT'")
+    assert {(r.owner, r.wrong) for r in branches.integrity(bad, flow).collect()} == {("f", "entry_exit"), ("f", "unknown_node")}
+
+
+def test_branch_rules(spark):
+    from factloom.operators import branches
+
+    edges = [(1, 2, None), (2, 3, None), (2, 4, 7), (3, 9, None), (4, 9, None), (1, 5, None), (5, 9, None), (3, 3, None)]
+    points = [(1, "ALLOC", 7), (2, "CHECK", 7), (3, "RELEASE", 7), (4, "DEREFERENCE", 7), (5, "RELEASE", 8)]
+    e = spark.createDataFrame([("o", *x) for x in edges], "owner string, src long, dst long, null_of long")
+    p = branches.materialize_points(spark.createDataFrame([("o", *x) for x in points], "owner string, point long, type string, subject long"), e)
+    assert {(r.point, r.type) for r in p.collect() if r.type == "EXIT"} == {(9, "EXIT")}
+    rule = lambda f: {(r.start, r.target) for r in f(e, p).collect()}
+    assert rule(branches.unreleased) == {(1, 9)}  # by 5, which releases another subject; the null arm does not count
+    assert rule(branches.unchecked_dereferences) == {(2, 4)}
+    assert rule(branches.double_release) == {(3, 3)} and rule(branches.use_after_release) == set()
+    assert branches.unreleased(e.limit(0), p.limit(0)).count() == 0
+
+
+def test_resolver_rules(spark):
+    from factloom.operators import resolve
+
+    symbols = [("s1", "run", "a.run", "f1", "()", True, "Function"), ("s2", "run", "b.run", "f1", "()", False, "Function"), ("s3", "one", "a.one", "f1", "()", True, "Function"), ("s4", "two", "p.two", "f2", "(x)", True, "Function"), ("s5", "two", "p.two", "f3", "(x)", False, "Function"), ("s6", "T", "q.T", "f1", "", True, "Function"), ("s7", "T", "q.r.T", "f2", "", True, "Class"), ("s8", "far", "m.far", "f4", "()", True, "Function")]
+    s = spark.createDataFrame(symbols, "id string, name string, qualified_name string, file string, signature string, definition boolean, kind string")
+    schema = "id string, owner_id string, raw_name string, call_kind string, target_module string, file string, type_use boolean, receiver_unsafe boolean"
+    refs = [("1", "o", "run", "direct", None, "f1", None, None), ("2", "o", "x.one", "direct", None, "f1", None, None), ("3", "o", "x.one", "direct", None, "f1", None, True), ("4", "o", "p.two", "direct", None, "f9", None, None), ("5", "o", "two", "direct", "p", "f9", None, None), ("6", "o", "two", "direct", None, "f9", None, None), ("7", "o", "T", "direct", None, "f1", True, None), ("8", "o", "alias", "direct", None, "f9", None, None), ("9", "o", "far", "indirect", None, "f9", None, None), ("10", "o", "far", "direct", None, "f9", None, None), ("11", "s8", "far", "direct", None, "f9", None, None), ("12", "o", "nothing", "direct", "p", None, None, None)]
+    imports = spark.createDataFrame([("f9", "alias", "m", "far"), ("f1", "alias", "m", "none")], "file string, local string, module string, target string")
+    rows = resolve.resolve(spark.createDataFrame(refs, schema), s, imports).collect()
+    got = {int(r.id): (r.status, r.resolved_id, r.strategy, r.confidence) for r in rows}
+    assert got[1] == ("ambiguous", None, "same_file", 0.0) and got[2] == ("resolved", "s3", "same_file", 0.98) and got[3][:3] == ("ambiguous", None, "same_file")
+    assert got[4] == ("resolved", "s4", "qualified", 0.99) and got[5] == ("resolved", "s4", "module", 1.0) and got[6][:3] == ("ambiguous", None, "global")
+    assert got[7] == ("resolved", "s7", "global", 0.75) and got[8] == ("resolved", "s8", "alias", 0.95)
+    assert got[9][:2] == ("unresolved", None) and got[10] == ("resolved", "s8", "global", 0.75) and got[11][:2] == ("unresolved", None)
+    assert len(rows) == len(refs) and got[12] == ("unresolved", None, None, 0.0)
+
+
+def test_facts_are_made_anew_when_a_table_changes(spark, tmp_path):
+    import shutil
+
+    from factloom.sources.facts import Facts
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf")
+    folder = str(tmp_path / "sf")
+    before = Facts(spark, folder).nodes.where("kind = 'Namespace'").count()
+    some = spark.read.parquet(f"{folder}/region.parquet").limit(2).toPandas()
+    os.chmod(tmp_path / "sf", 0o755)
+    (tmp_path / "sf" / "region.parquet").unlink()
+    some.to_parquet(tmp_path / "sf" / "region.parquet")
+    assert (before, Facts(spark, folder).nodes.where("kind = 'Namespace'").count()) == (5, 2)
