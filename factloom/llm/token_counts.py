@@ -89,8 +89,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     that of the tokenizer file are the cache's key. ``cache`` is a folder of Parquet files shared by all runs; without
     one each call starts an empty cache of its own. Of the texts that the cache lacks, the row with the least doc_id
     of each digest is encoded (null ids rank last), and its count is appended. Rows that repeat count each; other
-    columns are ignored. The texts move once, to meet the ids that stand for their digests; hot digests meet there
-    as single rows, and the last join carries digests and counts only, which Spark can split for a hot key.
+    columns are ignored. The texts move once, to meet the rows that stand for their digests, by digest and id, so that
+    neither a third of all rows without an id nor a third with one text meets in a task; the last join carries digests and counts only, which Spark can split for a hot key.
     """
     spark = docs.sparkSession
     cache = cache or scratch.new_path(spark, "token-cache")
@@ -101,9 +101,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == file).select("digest", "n_tokens")
     missing = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
-    stands = missing.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.col("digest").alias("wanted"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), text.alias("text"))
-    fresh = texts.join(stands.hint("shuffle_hash"), "key").where(digest == F.col("wanted"))
+    stands = missing.select(F.col("doc_id").alias("key"), F.col("digest").alias("wanted"))
+    texts = docs.select("doc_id", digest, text.alias("text"))
+    fresh = texts.join(stands.hint("shuffle_hash"), (texts["digest"] == stands["wanted"]) & texts["doc_id"].eqNullSafe(stands["key"]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)

@@ -289,6 +289,14 @@ def test_token_counts_and_cache(spark, docs, texts, tmp_path):
     assert token_counts.counter(path)(some) == [len(x) for x in library.encode(some)]
 
 
+def test_token_counts_without_ids(spark):
+    rows = [(None, f"text {k % 30} without an id") for k in range(90)] + [(4, "text 3 without an id"), (4, "of its own"), (None, None), (None, "")]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer("piece_bpe_32k.model")).collect()
+    count = token_counts.counter(tokenizer("piece_bpe_32k.model"))
+    want = [(i, len((t or "").encode()), count([t or ""])[0], False) for i, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_token_files(spark, texts):
     from tokenizers import Tokenizer
 
