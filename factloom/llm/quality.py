@@ -93,7 +93,7 @@ def profile(rows: DataFrame, rules: Sequence[Rule], sample_rows: int = 256, samp
 
     The sample holds at most ``sample_rows`` rows whose texts have at most ``sample_bytes`` together, from the first
     partitions that yield it, so its reading does not grow with the table; it decides the order of the rules only, never
-    a verdict. A rule runs over as many repetitions of the sample as make some 16 MB of text, and its cost is the least
+    a verdict. A rule runs over as many repetitions of the sample as make some 4 MB of text, and its cost is the least
     time of two runs less that of a job without a rule, for one sample.
     """
     spark = rows.sparkSession
@@ -106,7 +106,7 @@ def profile(rows: DataFrame, rules: Sequence[Rule], sample_rows: int = 256, samp
         if total > sample_bytes:
             break
         sample.append(row)
-    times = min(max((16 << 20) // max(total, 1), 1), 400)
+    times = min(max((4 << 20) // max(total, 1), 1), 400)
     held = spark.createDataFrame(sample, rows.schema).coalesce(1).cache()
 
     def timed(rejects: Column) -> tuple[float, int]:
