@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import ids
-from factloom.operators import branches, concurrency, contracts, dataflow, defects, evidence, governance, incremental, knowledge, lookup, neighbours, overlay, projection, resolve, shards, spans, traversal
+from factloom.operators import branches, concurrency, context, contracts, dataflow, defects, evidence, governance, incremental, integrity, knowledge, lookup, neighbours, overlay, projection, resolve, shards, spans, traversal
 from factloom.sources.facts import Facts, duckdb_with
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -715,6 +715,184 @@ def flow_points(g: Facts) -> DataFrame:
     return _flow(g)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Context of symbols, documents and shards
+
+_IS_CROSS = "relation IN ('DESCRIBES', 'CONSTRAINS', 'IMPLEMENTED_BY', 'VERIFIED_BY', 'BELONGS_TO', 'DOCUMENTS')"
+
+
+@_query("SELECT id, source_id, raw_anchor FROM doc_links WHERE status = 'ambiguous' AND anchor_type = 'symbol'", ("doc_links",))
+def evidence_links(g: Facts) -> DataFrame:
+    return lookup.where_equal(g.doc_links, ["source_id", "raw_anchor", "id"], source_id=None, target_id=None, status="ambiguous", anchor_type="symbol").select("id", "source_id", "raw_anchor")
+
+
+@_query("SELECT DISTINCT source_id AS anchor, n.id, n.qualified_name FROM doc_links l JOIN nodes n ON target_id = n.id WHERE status = 'resolved' AND relation = 'IMPLEMENTED_BY'", ("nodes", "doc_links"))
+def implemented_code(g: Facts) -> DataFrame:
+    return context.linked(g.doc_links, g.nodes, ["IMPLEMENTED_BY"], False).select("anchor", "id", "qualified_name")
+
+
+@_query("SELECT DISTINCT target_id AS anchor, d.id, d.qualified_name FROM doc_links l JOIN doc_nodes d ON source_id = d.id WHERE status = 'resolved' AND relation = 'IMPLEMENTED_BY' AND d.kind = 'Requirement'", ("doc_nodes", "doc_links"))
+def requirements_of(g: Facts) -> DataFrame:
+    return context.linked(g.doc_links, g.doc_nodes, ["IMPLEMENTED_BY"], True).where("kind = 'Requirement'").select("anchor", "id", "qualified_name")
+
+
+@_query(f"SELECT DISTINCT source_id AS anchor, relation, n.id FROM doc_links l JOIN nodes n ON target_id = n.id WHERE status = 'resolved' AND {_IS_CROSS}", ("nodes", "doc_links"))
+def document_targets(g: Facts) -> DataFrame:
+    return context.linked(g.doc_links, g.nodes, context.CROSS, False).select("anchor", "relation", "id")
+
+
+@_query("SELECT id, CASE WHEN lower(id) = q OR lower(name) = q OR lower(qualified_name) = q OR lower(path) = q THEN 0 ELSE 1 END AS rank FROM doc_nodes, (SELECT 'supplier#000000003' AS q) WHERE contains(lower(id || chr(0) || name || chr(0) || qualified_name || chr(0) || path), q) ORDER BY rank, qualified_name, id LIMIT 1", ("doc_nodes",))
+def resolve_document(g: Facts) -> DataFrame:
+    return context.resolve_document(g.doc_nodes, "Supplier#000000003").select("id", "rank")
+
+
+_CODE = f"""WITH r AS (SELECT DISTINCT source_id AS document, 'resolved' AS role, relation, n.id, n.qualified_name AS name FROM doc_links l JOIN nodes n ON target_id = n.id WHERE status = 'resolved' AND {_IS_CROSS}
+UNION SELECT source_id, 'candidate', 'CANDIDATE', id, raw_anchor FROM doc_links WHERE status <> 'resolved'),
+k AS (SELECT *, row_number() OVER (PARTITION BY document, role ORDER BY name, id, relation) AS place, count(*) OVER (PARTITION BY document, role) AS total FROM r)
+"""
+
+
+@_query(_CODE + "SELECT document, role, relation, id, name, place, total FROM k WHERE place <= 12", ("nodes", "doc_links"))
+def find_related_code(g: Facts) -> DataFrame:
+    return context.related_code(g.doc_links, g.nodes)
+
+
+@_query(f"""WITH r AS (SELECT source_id, count(*) AS links, count(DISTINCT shard) AS shards FROM doc_links JOIN nodes n ON target_id = n.id WHERE status = 'resolved' AND {_IS_CROSS} GROUP BY source_id),
+c AS (SELECT source_id, count(*) AS candidates FROM doc_links WHERE status <> 'resolved' GROUP BY source_id)
+SELECT d.id, coalesce(links, 0) AS links, coalesce(shards, 0) AS shards, coalesce(candidates, 0) AS candidates, coalesce(candidates, 0) > 0 OR coalesce(links, 0) = 0 AS uncertain FROM doc_nodes d LEFT JOIN r ON r.source_id = d.id LEFT JOIN c ON c.source_id = d.id""", ("nodes", "doc_nodes", "doc_links"))
+def related_code_summary(g: Facts) -> DataFrame:
+    return context.related_code_summary(g.doc_links, g.doc_nodes, g.nodes)
+
+
+_TOLD = f"""WITH t AS (SELECT DISTINCT target_id AS symbol, d.id, d.qualified_name FROM doc_links JOIN doc_nodes d ON source_id = d.id WHERE status = 'resolved' AND {_IS_CROSS}),
+td AS (SELECT symbol, id, qualified_name, row_number() OVER (PARTITION BY symbol ORDER BY qualified_name, id) AS place, count(*) OVER (PARTITION BY symbol) AS total FROM t)
+"""
+
+
+@_query(_TOLD + "SELECT * FROM td WHERE place <= 6", ("doc_nodes", "doc_links"))
+def find_related_documents(g: Facts) -> DataFrame:
+    return context.related_documents(g.doc_links, g.doc_nodes).select("symbol", "id", "qualified_name", "place", "total")
+
+
+_NEAR = """a AS (SELECT dst_id AS symbol, 0 AS section, src_id AS id FROM edges WHERE type = 'CALLS' UNION SELECT src_id, 1, dst_id FROM edges WHERE type = 'CALLS' UNION SELECT dst_id, 2, src_id FROM edges WHERE type = 'REFERENCES'),
+ad AS (SELECT a.symbol, section, a.id, row_number() OVER (PARTITION BY a.symbol ORDER BY section, n.qualified_name, a.id) AS place, count(*) OVER (PARTITION BY a.symbol) AS total FROM a JOIN nodes n ON n.id = a.id JOIN nodes s ON s.id = a.symbol)
+"""
+
+
+@_query(_TOLD + ", " + _NEAR + """SELECT id AS symbol, 'definition' AS section, id, 1 AS place, CAST(1 AS BIGINT) AS total FROM nodes UNION ALL SELECT id, 'shard', shard, 1, 1 FROM nodes
+UNION ALL SELECT symbol, CASE section WHEN 0 THEN 'caller' WHEN 1 THEN 'callee' ELSE 'reference' END, id, place, total FROM ad WHERE place <= 12 UNION ALL SELECT symbol, 'document', id, place, total FROM td WHERE place <= 6""", ("nodes", "edges", "doc_nodes", "doc_links"))
+def explain_symbol(g: Facts) -> DataFrame:
+    return context.explain_symbol(g.nodes, g.edges, g.doc_links, g.doc_nodes)
+
+
+_MET = _BOUNDARY[:-2].replace("SELECT e.id,", "SELECT dst_id,") + ")"
+
+
+@_query(_MET + f""", o AS (SELECT src_shard AS shard, count(DISTINCT dst_shard) AS outbound FROM b GROUP BY 1), i AS (SELECT dst_shard AS shard, count(DISTINCT src_shard) AS inbound, count(DISTINCT dst_id) AS public_symbols FROM b GROUP BY 1),
+t AS (SELECT shard, count(DISTINCT source_id) AS documents FROM doc_links JOIN nodes n ON n.id = target_id WHERE status = 'resolved' AND {_IS_CROSS} GROUP BY 1), s AS (SELECT shard, count(*) AS symbols FROM nodes GROUP BY 1)
+SELECT shard, symbols, coalesce(public_symbols, 0) AS public_symbols, coalesce(outbound, 0) AS outbound, coalesce(inbound, 0) AS inbound, coalesce(documents, 0) AS documents FROM s LEFT JOIN o USING (shard) LEFT JOIN i USING (shard) LEFT JOIN t USING (shard)""", ("nodes", "edges", "doc_links"))
+def explain_module(g: Facts) -> DataFrame:
+    return context.explain_module(g.nodes, neighbours.shard_edges(g.edges, g.nodes), g.doc_links)
+
+
+@_query(_MET + """, k AS (SELECT shard, id, id IN (SELECT dst_id FROM b) AS public, row_number() OVER (PARTITION BY shard ORDER BY id IN (SELECT dst_id FROM b) DESC, qualified_name, id) AS place FROM nodes) SELECT * FROM k WHERE place <= 8""", ("nodes", "edges"))
+def module_symbols(g: Facts) -> DataFrame:
+    return context.module_symbols(g.nodes, neighbours.shard_edges(g.edges, g.nodes))
+
+
+_UNSURE = "SELECT id, owner_id, start_line, CASE WHEN raw_name LIKE 'missing%' THEN 'unresolved' WHEN raw_name LIKE '%#%' THEN 'ambiguous' ELSE 'resolved' END AS status, raw_name FROM "
+
+
+@_query("WITH " + _NEAR + f""", u AS ({_UNSURE}raw_references),
+c AS (SELECT u.owner_id AS symbol, u.id AS reference, start_line, unnest(CASE WHEN status = 'ambiguous' THEN [raw_name, raw_name || '!'] ELSE [NULL] END) AS id FROM u WHERE status <> 'resolved'),
+cd AS (SELECT symbol, reference, c.id, row_number() OVER (PARTITION BY symbol ORDER BY c.start_line, reference, c.id NULLS FIRST) AS place FROM c JOIN nodes n ON n.id = symbol),
+m AS (SELECT id AS symbol, 0 AS o, 'primary' AS section, 1 AS place, 'symbol:' || id AS fact_id, id FROM nodes UNION ALL SELECT symbol, 0, 'primary', 2, 'symbol:' || id, id FROM ad WHERE place = 1
+UNION ALL SELECT symbol, 1, 'relation', place, concat_ws(':', 'relation', CASE section WHEN 0 THEN 'caller' WHEN 1 THEN 'callee' ELSE 'reference' END, symbol, id), id FROM ad WHERE place <= 12
+UNION ALL SELECT symbol, 2, 'candidate', place, CASE WHEN id IS NULL THEN 'unresolved:' || reference ELSE concat_ws(':', 'candidate', reference, id) END, id FROM cd WHERE place <= 6)
+SELECT symbol, section, place, fact_id, id, (section = 'primary' AND place = 1) OR sum(strlen(CAST(to_json({{'section': section, 'fact_id': fact_id}}) AS VARCHAR))) OVER (PARTITION BY symbol ORDER BY o, place ROWS UNBOUNDED PRECEDING) <= 6000 AS kept FROM m""", ("nodes", "edges", "raw_references"))
+def task_context(g: Facts) -> DataFrame:
+    unsure = g.spark.sql(_UNSURE + "{r}", r=g.raw_references)
+    either = F.when(F.col("status") == "ambiguous", F.array("raw_name", F.concat("raw_name", F.lit("!"))))
+    return context.task_context(g.nodes, g.edges, unsure.withColumn("candidates", either))
+
+
+@_query("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l, CAST(1 + doc_id % 3 AS INT) AS a, CAST(1 + doc_id % 3 + doc_id % 30 AS INT) AS z FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, a AS start_line, least(z, len(l), a + 19) AS end_line, l[1:a - 1] AS head, l FROM t WHERE a <= len(l)),
+c AS (SELECT doc_id, start_line, end_line, CASE WHEN start_line > 1 THEN strlen(array_to_string(head, chr(10))) + 1 ELSE 0 END AS start_byte, array_to_string(l[start_line:end_line], chr(10)) AS content FROM s)
+SELECT doc_id, start_line, end_line, start_byte, start_byte + strlen(content) AS end_byte, content FROM c""")
+def source_spans(g: Facts) -> DataFrame:
+    docs = g.table("documents")
+    found = context.span(F.col("text"), 1 + F.col("doc_id") % 3, 1 + F.col("doc_id") % 3 + F.col("doc_id") % 30)
+    return docs.select("doc_id", found.alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
+
+
+# Integrity of stored facts
+
+
+_TREE = "SELECT shard AS scope, id, CASE WHEN start_line % 7 > 0 THEN 'x' || CAST(start_line AS STRING) WHEN start_line % 2 > 0 THEN id END AS parent FROM "
+
+
+@_query(f"""WITH t AS ({_TREE}nodes), r AS (SELECT scope, count(*) FILTER (WHERE parent IS NULL) AS roots FROM t GROUP BY scope)
+SELECT scope, 'root_missing' AS problem, CAST(1 AS BIGINT) AS n FROM r WHERE roots = 0 UNION ALL SELECT scope, 'multiple_roots', roots FROM r WHERE roots > 1
+UNION ALL SELECT scope, 'parent_missing', count(*) FROM t WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t p WHERE p.scope = t.scope AND p.id = t.parent) GROUP BY scope""", ("nodes",))
+def tree_integrity(g: Facts) -> DataFrame:
+    return integrity.tree(g.spark.sql(_TREE + "{n}", n=g.nodes))
+
+
+_CONTROL = ("SELECT owner AS scope, event_id AS id, CASE WHEN type = 'CHECK' AND subject = 3 THEN NULL ELSE owner END AS owner, CASE WHEN position = 1 THEN 'entry' WHEN type = 'RELEASE' AND subject = 1 THEN 'exit' ELSE 'node' END AS kind FROM ",
+            "SELECT owner AS scope, event_id AS src, CASE WHEN subject = 2 THEN -event_id ELSE event_id END AS dst, CASE WHEN subject = 5 THEN 'other' ELSE owner END AS owner FROM ")
+
+
+@_query(f"""WITH n AS ({_CONTROL[0]}points), e AS ({_CONTROL[1]}points), o AS (SELECT scope, owner, count(*) FILTER (WHERE kind = 'entry') AS a, count(*) FILTER (WHERE kind = 'exit') AS z FROM n WHERE owner IS NOT NULL GROUP BY ALL),
+p AS (SELECT scope, 'node_missing_owner' AS problem FROM n WHERE owner IS NULL UNION ALL SELECT scope, 'entry_missing' FROM o WHERE a <> 1 UNION ALL SELECT scope, 'exit_missing' FROM o WHERE z <> 1
+UNION ALL SELECT scope, 'edge_endpoint_missing' FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.scope = e.scope AND n.id = e.dst)
+UNION ALL SELECT e.scope, 'edge_owner_mismatch' FROM e JOIN n ON n.scope = e.scope AND n.id = e.src WHERE n.owner IS DISTINCT FROM e.owner) SELECT scope, problem, count(*) AS n FROM p GROUP BY ALL""", ("points",))
+def control_flow_integrity(g: Facts) -> DataFrame:
+    return integrity.control_flow(g.spark.sql(_CONTROL[0] + "{p}", p=g.points), g.spark.sql(_CONTROL[1] + "{p}", p=g.points))
+
+
+_EVENTS = "SELECT owner AS scope, CASE WHEN subject = 4 THEN 'event:' || owner ELSE CASE WHEN subject = 6 THEN 'point:' ELSE 'event:' END || CAST(event_id AS STRING) END AS id, CASE WHEN subject = 7 THEN '' ELSE owner END AS owner, type AS kind, CASE WHEN subject = 8 THEN 'level1' ELSE 'level0' END AS level FROM "
+
+
+@_query(f"""WITH n AS ({_EVENTS}points), p AS (SELECT scope, 'duplicate_event_ids' AS problem FROM n GROUP BY scope, id HAVING count(*) > 1 UNION ALL SELECT scope, 'event_id_prefix_missing' FROM n WHERE id NOT LIKE 'event:%'
+UNION ALL SELECT scope, 'unknown_event_type' FROM n WHERE kind NOT IN ('ALLOC', 'RELEASE', 'DEREFERENCE', 'WRITE') UNION ALL SELECT scope, 'event_owner_missing' FROM n WHERE owner = '' UNION ALL SELECT scope, 'event_level_missing' FROM n WHERE level <> 'level0')
+SELECT scope, problem, count(*) AS n FROM p GROUP BY ALL""", ("points",))
+def events_integrity(g: Facts) -> DataFrame:
+    return integrity.events(g.spark.sql(_EVENTS + "{p}", p=g.points), ["ALLOC", "RELEASE", "DEREFERENCE", "WRITE"], "level0")
+
+
+_SPARSE = "SELECT owner AS scope, CASE WHEN subject = 1 THEN 'cfg-exit:a' ELSE 'event:' || CAST(event_id AS STRING) END AS src, CASE WHEN subject = 2 THEN 'event:gone' WHEN subject = 3 THEN 'cfg-exit:b' ELSE 'event:' || CAST(event_id AS STRING) END AS dst, CASE WHEN type = 'CHECK' THEN 'DATA_FLOW_TO' ELSE 'CONTROL_REACHES' END AS kind, CAST(event_id - event_id % 2 AS STRING) AS id FROM "
+
+
+@_query(f"""WITH e AS ({_SPARSE}points), n AS (SELECT owner AS scope, 'event:' || CAST(event_id AS STRING) AS id FROM points),
+p AS (SELECT scope, 'unknown_sparse_relation' AS problem FROM e WHERE kind <> 'CONTROL_REACHES' UNION ALL SELECT scope, 'sparse_edge_endpoint_missing' FROM e WHERE (scope, src) NOT IN (SELECT scope, id FROM n)
+UNION ALL SELECT scope, 'sparse_edge_endpoint_missing' FROM e WHERE dst NOT LIKE 'cfg-exit:%' AND (scope, dst) NOT IN (SELECT scope, id FROM n)) SELECT scope, problem, count(*) AS n FROM p GROUP BY ALL""", ("points",))
+def sparse_flow_integrity(g: Facts) -> DataFrame:
+    points = g.points
+    return integrity.sparse_flow(points.selectExpr("owner AS scope", "'event:' || CAST(event_id AS STRING) AS id"), g.spark.sql(_SPARSE + "{p}", p=points))
+
+
+@_query(f"""WITH e AS ({_SPARSE}points), p AS (SELECT scope, 'duplicate_dfg_edge_ids' AS problem FROM e GROUP BY scope, id HAVING count(*) > 1 UNION ALL SELECT scope, 'unknown_dfg_relation' FROM e WHERE kind <> 'DATA_FLOW_TO'
+UNION ALL SELECT scope, 'dfg_endpoint_missing' FROM e WHERE src NOT LIKE 'event:%') SELECT scope, problem, count(*) AS n FROM p GROUP BY ALL""", ("points",))
+def data_flow_integrity(g: Facts) -> DataFrame:
+    return integrity.data_flow(g.spark.sql(_SPARSE + "{p}", p=g.points))
+
+
+@_query("""WITH r AS (SELECT n_name AS analyzer, CAST(n_regionkey AS STRING) AS contract FROM nation WHERE n_nationkey % 5 > 0),
+b AS (SELECT c_custkey AS analysis, n_name AS analyzer, CAST(c_custkey % 3 AS STRING) AS contract FROM customer JOIN nation ON n_nationkey = c_nationkey OR n_nationkey = (c_nationkey + 1) % 25),
+x AS (SELECT analysis, analyzer, CASE WHEN r.analyzer IS NULL THEN 'dependency_unregistered:' ELSE 'dependency_changed:' END || b.analyzer AS reason FROM b LEFT JOIN r USING (analyzer) WHERE r.analyzer IS NULL OR r.contract <> b.contract)
+SELECT analysis, min_by(reason, analyzer) AS reason FROM x GROUP BY analysis""")
+def dependency_staleness(g: Facts) -> DataFrame:
+    nation, customer = g.table("nation"), g.table("customer")
+    registry = nation.where("n_nationkey % 5 > 0").selectExpr("n_name AS analyzer", "CAST(n_regionkey AS STRING) AS contract")
+    built = customer.selectExpr("c_custkey AS analysis", "explode(array(c_nationkey, (c_nationkey + 1) % 25)) AS n_nationkey", "CAST(c_custkey % 3 AS STRING) AS contract").join(nation, "n_nationkey")
+    return integrity.staleness(built.select("analysis", F.col("n_name").alias("analyzer"), "contract"), registry)
+
+
+@_query("SELECT id FROM raw_references WHERE raw_name IN (SELECT qualified_name FROM nodes WHERE kind = 'Function' AND definition UNION SELECT list_last(string_split(qualified_name, '.')) FROM nodes WHERE kind = 'Function' AND definition)", ("nodes", "raw_references"))
+def references_for_names(g: Facts) -> DataFrame:
+    return integrity.references_for_names(g.raw_references, g.nodes.where("kind = 'Function' AND definition").select(F.col("qualified_name").alias("name")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

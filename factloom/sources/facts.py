@@ -57,7 +57,16 @@ def statements(sha: Callable[[str], str]) -> dict[str, str]:
         "CASE o_orderkey % 10 WHEN 1 THEN NULL WHEN 2 THEN 'U' ELSE 'N' END AS status FROM orders WHERE o_orderkey % 10 IN (1, 2) "
         "UNION ALL SELECT 'new' || CAST(o_orderkey AS STRING), 'ADD', 'N' FROM orders WHERE o_orderkey % 50 = 3"
     )
-    return {"nodes": nodes, "edges": edges, "raw_references": raw, "points": points, "locks": locks, "overlay": overlay}
+    doc_nodes = (
+        f"SELECT {node('Document', 's_suppkey')} AS id, CASE s_suppkey % 4 WHEN 0 THEN 'Requirement' WHEN 1 THEN 'DocumentSection' WHEN 2 THEN 'Spec' ELSE 'Document' END AS kind, "
+        "s_name AS name, 'docs/' || s_name AS qualified_name, 'docs/' || s_name || '.md' AS path FROM supplier"
+    )
+    doc_links = (
+        f"SELECT {_id(sha, 'link', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} AS id, {node('Document', 'l_suppkey')} AS source_id, 'part' || CAST(l_partkey AS STRING) AS raw_anchor, 'symbol' AS anchor_type, "
+        f"CASE l_partkey % 8 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN l_partkey % 8 > 1 THEN {node('Function', 'l_partkey')} END AS target_id, "
+        "CASE l_orderkey % 7 WHEN 0 THEN 'DESCRIBES' WHEN 1 THEN 'CONSTRAINS' WHEN 2 THEN 'IMPLEMENTED_BY' WHEN 3 THEN 'VERIFIED_BY' WHEN 4 THEN 'BELONGS_TO' WHEN 5 THEN 'DOCUMENTS' ELSE 'MENTIONS' END AS relation FROM lineitem"
+    )
+    return {"nodes": nodes, "edges": edges, "raw_references": raw, "points": points, "locks": locks, "overlay": overlay, "doc_nodes": doc_nodes, "doc_links": doc_links}
 
 
 def duckdb_with(*names: str) -> str:
