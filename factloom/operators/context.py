@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from factloom.functions import ids
+
 #: Relations between documents and code; fixed values.
 CROSS = ["DESCRIBES", "CONSTRAINS", "IMPLEMENTED_BY", "VERIFIED_BY", "BELONGS_TO", "DOCUMENTS"]
 #: Sections of a symbol's context in the order in which they are kept.
@@ -173,3 +175,26 @@ def span(text: Column, start: Column, end: Column, most: int = 20) -> Column:
     before = F.when(a > 1, F.octet_length(F.array_join(F.slice(lines, F.lit(1), a - 1), "\n")) + 1).otherwise(F.lit(0))
     made = F.struct(a.alias("start_line"), b.alias("end_line"), before.alias("start_byte"), (before + F.octet_length(content)).alias("end_byte"), content.alias("content"))
     return F.when(text.isNotNull() & (a <= F.size(lines)), made)
+
+
+def evidence_facts(repository: str, nodes: DataFrame, documents: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """evidence_id, fact, source, relation, target of every fact; the id hashes all that follow it, so it finds them."""
+
+    def facts(df: DataFrame, prefix: str, kind: str, source: Column, relation: Column, target: Column) -> DataFrame:
+        made = df.select(F.col("id").alias("fact"), source.alias("source"), relation.alias("relation"), target.alias("target"))
+        return made.select(ids.evidence_id(prefix, F.lit(repository), F.lit(kind), "source", "relation", "target", "fact").alias("evidence_id"), "*")
+
+    src, dst, kind = F.col("src_id"), F.col("dst_id"), F.col("type")
+    rows = facts(nodes, "CODE", "CODE_DEFINITION", F.coalesce("file", "id"), F.lit("DEFINES"), F.col("id"))
+    rows = rows.unionByName(facts(documents, "DOC", "DOCUMENT_SECTION", F.col("id"), F.lit("DOCUMENTS"), F.col("id")))
+    rows = rows.unionByName(facts(edges.where("type = 'CALLS'"), "CALL", "CALL_RELATION", src, kind, dst))
+    rows = rows.unionByName(facts(edges.where("type = 'REFERENCES'"), "REF", "REFERENCE", src, kind, dst))
+    rows = rows.unionByName(facts(edges.where("type NOT IN ('CALLS', 'REFERENCES')"), "DEP", "DEPENDENCY", src, kind, dst))
+    way = F.when(F.col("status") == "resolved", "DOCUMENTS").otherwise("CANDIDATE")
+    return rows.unionByName(facts(links, "XLINK", "CROSS_LAYER_LINK", F.col("source_id"), way, F.coalesce("target_id", F.concat(F.lit("raw:"), F.coalesce("raw_anchor", F.lit(""))))))
+
+
+def trace_evidence(requests: DataFrame, facts: DataFrame) -> DataFrame:
+    """The fact behind each distinct id of ``requests(evidence_id)``, with found; ids of no fact have nulls."""
+    wanted = requests.select("evidence_id").distinct()
+    return wanted.join(facts, "evidence_id", "left").withColumn("found", F.col("fact").isNotNull())

@@ -80,6 +80,13 @@ def event_ids(g: Facts) -> DataFrame:
     return dataflow.ordinals(g.points).select("event_id", ids.event_id(F.lit("r"), "owner", "type", "ordinal").alias("id"))
 
 
+@_query("""SELECT id, 'cfg-exit:' || sha256(concat_ws(chr(31), 'r', owner_id)) AS exit_id, 'shard:' || sha256(concat_ws(chr(31), 'r', replace(file, chr(92), '/'))) AS shard_id,
+'reference:' || sha256(concat_ws(chr(31), 'r', file, owner_id, call_kind, raw_name, CAST(start_line AS STRING))) AS reference_id FROM raw_references""", ("raw_references",))
+def reference_ids(g: Facts) -> DataFrame:
+    made = (ids.exit_id(F.lit("r"), "owner_id").alias("exit_id"), ids.shard_id(F.lit("r"), "file").alias("shard_id"), ids.reference_id(F.lit("r"), "file", "owner_id", "call_kind", "raw_name", "start_line").alias("reference_id"))
+    return g.raw_references.select("id", *made)
+
+
 @_query("SELECT s_suppkey, 'E-EDGE-' || sha256('[\"' || s_name || '\",\"' || CAST(s_nationkey AS STRING) || '\"]')[1:24] AS id FROM supplier")
 def evidence_ids(g: Facts) -> DataFrame:
     return g.table("supplier").select("s_suppkey", ids.evidence_id("EDGE", "s_name", "s_nationkey").alias("id"))
@@ -825,6 +832,29 @@ def source_spans(g: Facts) -> DataFrame:
     return docs.select("doc_id", found.alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
 
 
+def _evidence(prefix: str, kind: str, source: str, relation: str, target: str, rows: str) -> str:
+    digest = f"sha256(CAST(to_json(['r', '{kind}', {source}, {relation}, {target}, id]) AS VARCHAR))[1:24]"
+    return f"SELECT 'E-{prefix}-' || {digest} AS evidence_id, id AS fact, {source} AS source, {relation} AS relation, {target} AS target FROM {rows}"
+
+
+_EVIDENCE = "WITH f AS (" + " UNION ALL ".join([
+    _evidence("CODE", "CODE_DEFINITION", "coalesce(file, id)", "'DEFINES'", "id", "nodes"),
+    _evidence("DOC", "DOCUMENT_SECTION", "id", "'DOCUMENTS'", "id", "doc_nodes"),
+    _evidence("CALL", "CALL_RELATION", "src_id", "type", "dst_id", "edges WHERE type = 'CALLS'"),
+    _evidence("REF", "REFERENCE", "src_id", "type", "dst_id", "edges WHERE type = 'REFERENCES'"),
+    _evidence("DEP", "DEPENDENCY", "src_id", "type", "dst_id", "edges WHERE type NOT IN ('CALLS', 'REFERENCES')"),
+    _evidence("XLINK", "CROSS_LAYER_LINK", "source_id", "CASE status WHEN 'resolved' THEN 'DOCUMENTS' ELSE 'CANDIDATE' END", "coalesce(target_id, 'raw:' || raw_anchor)", "doc_links"),
+]) + ")"
+
+
+@_query(_EVIDENCE + """, q AS (SELECT DISTINCT evidence_id FROM f UNION SELECT 'E-CODE-' || sha256(CAST(r_regionkey AS STRING))[1:24] FROM region)
+SELECT q.evidence_id, fact, source, relation, target, fact IS NOT NULL AS found FROM q LEFT JOIN f USING (evidence_id)""", ("nodes", "edges", "doc_nodes", "doc_links"))
+def trace_evidence(g: Facts) -> DataFrame:
+    facts = context.evidence_facts("r", g.nodes, g.doc_nodes, g.edges, g.doc_links)
+    unknown = g.table("region").select(F.concat(F.lit("E-CODE-"), F.substring(F.sha2(F.col("r_regionkey").cast("string"), 256), 1, 24)).alias("evidence_id"))
+    return context.trace_evidence(facts.select("evidence_id").unionByName(unknown), facts)
+
+
 # Integrity of stored facts
 
 
