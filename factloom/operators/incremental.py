@@ -21,9 +21,11 @@ def affected_names(old: DataFrame, new: DataFrame, facts: list[str]) -> DataFram
 
 def impact_frontier(changed: DataFrame, old: DataFrame, new: DataFrame, wide: int = 8) -> DataFrame:
     """Unchanged shards whose boundary edges into ``changed(shard)`` appeared or went; wide if there are more than ``wide``."""
-    both = old.select("id", "src_shard", "dst_shard").withColumn("old", F.lit(1)).unionByName(new.select("id", "src_shard", "dst_shard").withColumn("old", F.lit(0)))
-    moved = both.groupBy("id", "src_shard", "dst_shard").agg(F.countDistinct("old").alias("sides")).where("sides = 1")
-    hit = moved.join(changed.select(F.col("shard").alias("dst_shard")), "dst_shard", "left_semi").join(changed.select(F.col("shard").alias("src_shard")), "src_shard", "left_anti")
+    # what can't count goes before the grouping moves it: only edges into changed shards from others are left
+    into, out = changed.select(F.col("shard").alias("dst_shard")), changed.select(F.col("shard").alias("src_shard"))
+    side = lambda rows, k: rows.join(into, "dst_shard", "left_semi").join(out, "src_shard", "left_anti").select("id", "src_shard", "dst_shard", F.lit(k).alias("old"))
+    both = side(old, 1).unionByName(side(new, 0))
+    hit = both.groupBy("id", "src_shard", "dst_shard").agg(F.min("old").alias("least"), F.max("old").alias("most")).where("least = most")
     shards = hit.groupBy("src_shard").agg(F.count(F.lit(1)).alias("edges")).withColumnRenamed("src_shard", "shard")
     total = shards.agg((F.count(F.lit(1)) > wide).alias("wide"))
     return shards.crossJoin(F.broadcast(total))  # one row of totals
