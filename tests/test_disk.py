@@ -25,7 +25,7 @@ def _written(spark, path):
 
 
 #: MB on sf0.001 that each query may write; with texts for ids each wrote more.
-@pytest.mark.parametrize(("name", "most"), [("explain_symbol", 1.0), ("task_context", 1.6), ("impact_frontier", 0.5)])
+@pytest.mark.parametrize(("name", "most"), [("explain_symbol", 1.0), ("task_context", 1.6), ("impact_frontier", 0.5), ("trace_evidence", 1.1)])
 def test_a_query_writes_little(spark, name, most, tmp_path):
     """A folder of its own, so that nothing that another query stored is used."""
     folder = shutil.copytree(SMALL, tmp_path / "tables")
@@ -66,3 +66,12 @@ def test_neighbours_come_by_name_then_by_text_of_the_key(spark):
     text = lambda c: F.concat(F.lit("n"), (9 - F.col(c)).cast("string"))  # noqa: E731  # the texts go the other way
     rows = context.explain_symbol(nodes, edges, links, nodes.limit(0), max_edges=5, text=text).where("section = 'caller'").collect()
     assert sorted((r.place, r.id, r.total) for r in rows) == [(1, "n2", 14), (2, "n2", 14), (3, "n3", 14), (4, "n3", 14), (5, "n4", 14)]
+
+
+def test_packed_evidence_ids_come_back(spark):
+    ids = ["E-CALL-" + "0a" * 12, "E-XLINK-" + "ff" * 12, "E-CALL-" + "0A" * 12, "E-CALL-" + "0a" * 12 + "\n", "E-call-" + "0a" * 12, "", "other", "E-DOC-0a"]
+    rows = spark.createDataFrame([(i,) for i in ids], "evidence_id string").withColumn("p", context.packed("evidence_id")).withColumn("back", context.unpacked("p")).collect()
+    assert [r.back for r in rows] == ids and len({bytes(r.p) for r in rows}) == len(ids) and len(rows[0].p) == 16
+    facts = spark.createDataFrame([(ids[0], "f")], "evidence_id string, fact string")
+    got = context.trace_evidence(spark.createDataFrame([(i,) for i in ids], "evidence_id string"), facts).collect()
+    assert {r.evidence_id: (r.fact, r.found) for r in got} == {i: ("f", True) if i == ids[0] else (None, False) for i in ids}
