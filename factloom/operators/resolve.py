@@ -5,15 +5,19 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom import scratch
+
 #: Confidence of each way to resolve, in order; fixed values.
 CONFIDENCE = {"same_file": 0.98, "qualified": 0.99, "module": 1.0, "alias": 0.95, "global": 0.75}
 #: Ways that take the only definition among candidates of one signature; the others need a single candidate.
 _BY_DEFINITION = ("qualified", "module")
 #: Symbols that a use of a type can't mean.
 CALLABLE = ("Function", "Method", "Constructor")
+#: Rows of a table of answers up to which it is broadcast; beyond, distinct names meet it by shuffle.
+BROADCAST_ANSWERS = 50_000
 
 
 def _select(found: DataFrame, *key: str) -> DataFrame:
@@ -87,3 +91,81 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame | None
     for name, value in CONFIDENCE.items():
         sure = F.when((F.col("status") == "resolved") & (F.col("strategy") == name), F.lit(value)).otherwise(sure)
     return out.withColumn("confidence", sure).drop("chosen", "_type_use", "_receiver_unsafe", *ways)
+
+
+def _answers(symbols: DataFrame, key: list[str], by_definition: bool) -> DataFrame:
+    """``key``, n and picked for names of any use, and both for names of types: what a way finds, without the candidates."""
+    free = ~F.col("kind").isin(*CALLABLE)
+    out = []
+    for suffix, fits in (("", F.lit(True)), ("_type", F.coalesce(free, F.lit(False)))):
+        node, defined = F.when(fits, F.col("node")), F.when(fits & F.col("definition"), F.col("node"))
+        n, picked = F.countDistinct(node), F.when(F.countDistinct(node) == 1, F.min(node))
+        if by_definition:
+            one = (F.countDistinct(F.when(fits, F.col("signature"))) == 1) & (F.countDistinct(defined) == 1)
+            picked = F.coalesce(picked, F.when(one, F.min(defined)))
+        out += [n.alias("n" + suffix), picked.alias("picked" + suffix)]
+    return symbols.where(" and ".join(f"{c} is not null" for c in key)).groupBy(*key).agg(*out)
+
+
+def resolve_counts(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``resolve`` without imports, for whoever needs no list: n_candidates stands in place of candidates.
+
+    A name that a million symbols bear gives a million candidates; here it is one row of counts, and no reference ever
+    carries a list. Ids may be of any type.
+    """
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(f"_{c}") if c in references.columns else F.lit(False).alias(f"_{c}") for c in ("type_use", "receiver_unsafe")]
+    target = F.regexp_replace("raw_name", r"^\.+|\.+$", "")
+    short = F.element_at(F.split(target, r"\."), -1)
+    whole = F.when(F.col("target_module").isNotNull(), F.concat_ws(".", "target_module", target))
+    refs = references.select("*", *flags)
+    s = symbols.select(F.col("id").alias("node"), "name", "qualified_name", F.col("file").alias("node_file"), "signature", "definition", *(["kind"] if "kind" in symbols.columns else [F.lit("").alias("kind")]))
+    # each way: the columns that it looks up, what a reference looks for in them, whether one definition decides, whether type uses matter
+    ladder: dict[str, tuple[list[str], list[Column], bool, bool]] = {
+        "same_file": (["name", "node_file"], [short, F.col("file")], False, True),
+        "qualified": (["qualified_name"], [target], True, False),
+        "module": (["qualified_name"], [whole], True, False),
+        "global": (["name"], [short], False, True),
+    }
+    tables, small = {}, True
+    for way, (key, _, decides, _) in ladder.items():
+        if way != "module":
+            tables[way] = scratch.stored(_answers(s, key, decides), "answers")
+            small = small and tables[way].count() <= BROADCAST_ANSWERS
+    tables["module"] = tables["qualified"]
+
+    def met(rows: DataFrame) -> DataFrame:
+        for way, (key, asked, _, by_use) in ladder.items():
+            found = tables[way].select(*(F.col(c).alias(f"_{way}_{c}") for c in key), *(F.col(c).alias(f"_{way}_{c}") for c in ("n", "picked", "n_type", "picked_type")))
+            same = functools.reduce(operator.and_, (a == F.col(f"_{way}_{c}") for a, c in zip(asked, key, strict=True)))
+            part = lambda c, w=way, use=by_use: F.when(F.col("_type_use"), F.col(f"_{w}_{c}_type")).otherwise(F.col(f"_{w}_{c}")) if use else F.col(f"_{w}_{c}")
+            answer = F.when(part("n") > 0, F.struct(part("n").alias("n"), part("picked").alias("picked")))
+            rows = rows.join(F.broadcast(found) if small else found, same, "left").select(*rows.columns, answer.alias(way))
+        return rows
+
+    if small:
+        out = met(refs)
+    else:
+        names = ["raw_name", "target_module", "file", "_type_use"]
+        looked = met(refs.select(*names).distinct())
+        out = refs.join(looked, functools.reduce(operator.and_, (refs[c].eqNullSafe(looked[c]) for c in names))).select(refs["*"], *(looked[w] for w in ladder))
+    way = F.when(F.col("call_kind") == "indirect", F.lit(None).cast("string"))
+    for name in ladder:
+        way = way.when(F.col(name).isNotNull(), F.lit(name))
+    out = out.withColumn("strategy", way)
+    out = out.withColumn("_chosen", F.coalesce(*(F.when(F.col("strategy") == w, F.col(w)) for w in ladder))).drop(*ladder)
+    # a reference never means its owner: one candidate less where the owner is among them
+    own = s.groupBy(F.col("node").alias("owner_id")).agg(F.collect_set(F.struct("name", "qualified_name", "node_file", "kind")).alias("_own"))
+    fits = lambda o: ~F.col("_type_use") | ~o["kind"].isin(*CALLABLE)
+    is_met = lambda o: F.when(F.col("strategy") == "same_file", (o["name"] == short) & (o["node_file"] == F.col("file")) & fits(o)).when(F.col("strategy") == "qualified", o["qualified_name"] == target).when(F.col("strategy") == "module", o["qualified_name"] == whole).when(F.col("strategy") == "global", (o["name"] == short) & fits(o))
+    out = out.join(own, "owner_id", "left")
+    itself = F.coalesce(F.exists("_own", is_met), F.lit(False))
+    unsafe = F.col("_receiver_unsafe") & F.col("strategy").isin("same_file", "global")
+    picked = F.col("_chosen.picked")
+    out = out.withColumn("n_candidates", F.coalesce(F.col("_chosen.n"), F.lit(0)) - itself.cast("long"))
+    out = out.withColumn("resolved_id", F.when(~picked.eqNullSafe(F.col("owner_id")) & ~unsafe, picked))
+    state = F.when(F.col("resolved_id").isNotNull(), "resolved").when((F.col("n_candidates") > 0) & (picked.isNull() | unsafe), "ambiguous").otherwise("unresolved")
+    out = out.withColumn("status", state)
+    sure = F.lit(0.0)
+    for name, value in CONFIDENCE.items():
+        sure = F.when((F.col("status") == "resolved") & (F.col("strategy") == name), F.lit(value)).otherwise(sure)
+    return out.select(*references.columns, "strategy", "n_candidates", "resolved_id", "status", sure.alias("confidence"))
