@@ -169,3 +169,78 @@ def resolve_counts(references: DataFrame, symbols: DataFrame) -> DataFrame:
     for name, value in CONFIDENCE.items():
         sure = F.when((F.col("status") == "resolved") & (F.col("strategy") == name), F.lit(value)).otherwise(sure)
     return out.select(*references.columns, "strategy", "n_candidates", "resolved_id", "status", sure.alias("confidence"))
+
+
+def resolve_named(calls: DataFrame, names: DataFrame, owners: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, resolved_only: bool = False) -> DataFrame:
+    """``resolve`` without imports for references in three tables: ``calls(owner_id, name_id, ...)``, ``names(name_id,
+    raw_name, target_module, call_kind)`` and ``owners(owner_id, file)``; a reference is a row of their inner join.
+
+    Gives the columns of calls, call_kind, strategy, resolved_id and status. A name is looked up once, whatever number
+    of references bear it, and no reference carries a text but that of a few fixed words: calls move once to their
+    names and once to their owners. Only symbols of files that owners lie in are looked up by file. ``names`` may have
+    type_use and receiver_unsafe. ``resolved_only`` leaves the others out, those of the lookups without a file before
+    they move to their owners; then the columns of ``targets(resolved_id, ...)`` may be added, which meet the answers
+    and not the references.
+    """
+    if targets is not None and not resolved_only:
+        raise ValueError("targets only stand beside resolved references")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in names.columns else F.lit(False)
+    asked = names.withColumn("_type_use", flag("type_use")).withColumn("_unsafe", flag("receiver_unsafe"))
+    target = F.regexp_replace("raw_name", r"^\.+|\.+$", "")
+    asked = asked.withColumn("_target", target).withColumn("_last", F.element_at(F.split("_target", r"\."), -1))
+    asked = asked.withColumn("_whole", F.when(F.col("target_module").isNotNull(), F.concat_ws(".", "target_module", "_target")))
+    asked = asked.select("name_id", "call_kind", "_type_use", "_unsafe", "_target", "_last", "_whole")
+    s = symbols.select(F.col("id").alias("node"), "name", "qualified_name", F.col("file").alias("node_file"), "signature", "definition", *(["kind"] if "kind" in symbols.columns else [F.lit("").alias("kind")]))
+
+    def met(rows: DataFrame, found: DataFrame, same: Column) -> DataFrame:
+        return rows.join(F.broadcast(found) if found.count() <= BROADCAST_ANSWERS else found, same, "left")
+
+    # lookups that need no file
+    qualified, anywhere = (scratch.stored(_answers(s, [key], decides), "answers") for key, decides in (("qualified_name", True), ("name", False)))
+    found = []
+    for way, table, key, by_use in (("qualified", qualified, "_target", False), ("module", qualified, "_whole", False), ("global", anywhere, "_last", True)):
+        asked = met(asked, table.select(*(F.col(c).alias(f"_{way}_{c}") for c in table.columns)), F.col(key) == F.col(f"_{way}_{table.columns[0]}"))
+        part = lambda c, w=way, use=by_use: F.when(F.col("_type_use"), F.col(f"_{w}_{c}_type")).otherwise(F.col(f"_{w}_{c}")) if use else F.col(f"_{w}_{c}")
+        found.append(F.when(part("n") > 0, F.struct(F.lit(way).alias("strategy"), F.least(part("n"), F.lit(2)).alias("n"), part("picked").alias("picked"))))
+    direct = ~F.col("call_kind").eqNullSafe("indirect")
+    asked = asked.withColumn("_found", F.when(direct, F.coalesce(*found)))
+    answer = ["strategy", "_n", "_picked"]
+    asked = asked.select("name_id", "call_kind", "_type_use", "_unsafe", "_last", F.col("_found.strategy").alias("strategy"), F.col("_found.n").alias("_n"), F.col("_found.picked").alias("_picked"))
+
+    # the lookup by file: of symbols in files of owners; their names get short keys
+    owners = scratch.stored(owners.select("owner_id", "file"), "owners")
+    files = owners.select(F.col("file").alias("node_file")).distinct()
+    near = _answers(s, ["name", "node_file"], False).join(files, "node_file", "left_semi")
+    use = [F.struct(F.lit(u).alias("use"), F.least(F.col("n" + c), F.lit(2)).alias("n"), F.col("picked" + c).alias("picked")) for u, c in ((False, ""), (True, "_type"))]
+    near = near.select("name", "node_file", F.inline(F.array(*use))).where("n > 0")
+    near = scratch.stored(near, "answers")
+    by_file = not near.isEmpty()
+    if by_file:
+        keys = scratch.stored(near.select("name").distinct().withColumn("_short", F.monotonically_increasing_id()), "names")
+        near = near.join(keys, "name").select(F.col("_short").alias("_near"), "node_file", "use", F.col("n").alias("_near_n"), F.col("picked").alias("_near_picked"))
+        asked = met(asked, keys, F.col("_last") == F.col("name")).withColumn("_short", F.when(direct, F.col("_short"))).drop("name")
+    if resolved_only:
+        asked = asked.where(F.col("_picked").isNotNull() | (F.col("_short").isNotNull() if by_file else F.lit(False)))
+    shown = []
+    if targets is not None:
+        shown = [c for c in targets.columns if c != "resolved_id"]
+        asked = asked.join(targets, F.col("_picked") == F.col("resolved_id"), "left").drop("resolved_id")
+        if by_file:
+            near = near.join(targets.withColumnsRenamed({c: f"_near_{c}" for c in shown}), F.col("_near_picked") == F.col("resolved_id"), "left").drop("resolved_id")
+
+    out = calls.join(asked.drop("_last"), "name_id").join(owners, "owner_id")
+    if by_file:
+        # a reference whose name no such file has meets nothing, and not all in one place
+        key = F.coalesce("_short", -1 - F.shiftrightunsigned(F.xxhash64("owner_id"), 1))
+        out = met(out, scratch.stored(near, "answers"), (key == F.col("_near")) & (F.col("file") == F.col("node_file")) & (F.col("_type_use") == F.col("use")))
+        at = F.col("_near").isNotNull()
+        out = out.withColumns({c: F.when(at, new).otherwise(F.col(c)) for c, new in zip([*answer, *shown], [F.lit("same_file"), *(F.col(f"_near{c}") for c in answer[1:]), *(F.col(f"_near_{c}") for c in shown)], strict=True)})
+    unsafe = F.col("_unsafe") & F.col("strategy").isin("same_file", "global")
+    itself = F.col("_picked").eqNullSafe(F.col("owner_id"))
+    out = out.withColumn("resolved_id", F.when(~itself & ~unsafe, F.col("_picked")))
+    # a sole candidate is picked; of several, one at least is not the owner
+    others = (F.col("_n") > 1) | ((F.col("_n") == 1) & ~itself)
+    state = F.when(F.col("resolved_id").isNotNull(), "resolved").when(others & (F.col("_picked").isNull() | unsafe), "ambiguous").otherwise("unresolved")
+    if resolved_only:
+        out = out.where("resolved_id is not null")
+    return out.select(*calls.columns, "call_kind", "strategy", "resolved_id", state.alias("status"), *shown)
