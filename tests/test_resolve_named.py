@@ -73,7 +73,7 @@ def test_the_three_tables_hold_the_references(spark, tmp_path):
 
 
 #: MB on sf0.01 that each query may write; a reference that carries texts or its digest wrote more.
-@pytest.mark.parametrize(("name", "most"), [("boundary_references", 1.2)])
+@pytest.mark.parametrize(("name", "most"), [("boundary_references", 1.2), ("call_semantics", 1.2)])
 def test_references_move_by_keys(spark, name, most, tmp_path):
     folder = shutil.copytree("/root/testdata/sf0.01", tmp_path / "tables")
     from factloom import scratch
