@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm.word_cache import TwoGenerations, trimmed
+from factloom.llm.word_cache import trimmed
 from factloom.llm.words import slices
 
 #: Chunks whose ids do not depend on case or on what stands beside them: Latin letters without marks of their own, then full stops and commas.
@@ -34,6 +35,40 @@ LAYOUT = {
 
 #: Token files (a name and a long each) up to which their places are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_FILES = 200_000
+#: Words, and as many other chunks, that a worker keeps with their ids, about 40 bytes each.
+CACHED = 500_000
+
+
+class ArrowCache:
+    """Ids of distinct words as one Arrow array beside the words, so a word costs its bytes and no Python objects.
+
+    It stays between tasks. Beyond ``limit`` words it keeps those asked for last.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHED):
+        self.encode, self.limit = encode, limit
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def get(self, wanted: pa.Array) -> pa.Array:
+        """Ids of each of the distinct words of ``wanted``, as little-endian bytes."""
+        wanted = wanted.cast(pa.string())
+        at = pc.index_in(wanted, value_set=self.words)
+        missing = wanted.filter(at.is_null())
+        if len(missing):
+            new = _packed(*self.encode(missing.to_pylist()))
+            place = pa.array(np.arange(len(self.words), len(self.words) + len(missing), dtype=np.int32))
+            at = pc.replace_with_mask(at, at.is_null(), place)
+            self.words, self.ids = pa.concat_arrays([self.words, missing]), pa.concat_arrays([self.ids, new])
+        found = self.ids.take(at)
+        if len(self.words) > self.limit:
+            self.words, self.ids = pa.concat_arrays([wanted[: self.limit]]), pa.concat_arrays([found[: self.limit]])
+        return found
+
+
+def _packed(ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """``size`` ids for each row, one after the other, as an array of bytes."""
+    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u4"))])
 
 
 class ChunkEncoder:
@@ -52,81 +87,57 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words = TwoGenerations(self._words)
-        self.others = TwoGenerations(self._library)
-
-    def forget(self) -> None:
-        self.words.forget()
-        self.others.forget()
+        self.words, self.others = ArrowCache(self._words), ArrowCache(self._library)
 
-    def _library(self, keys: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+    def _library(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys, one after the other, and how many each has."""
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        return np.fromiter(chain.from_iterable(coded), dtype="<u4", count=int(size.sum())), size
 
-    def _words(self, keys: list[str]) -> list[bytes]:
-        """Each key is one pre-token, and the last id of a pre-token is one that ends a word."""
-        out: list[bytes] = []
+    def _words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each key is one pre-token or empty, and the last id of a pre-token is one that ends a word."""
+        ids, sizes = [], []
         for k in range(0, len(keys), 2000):
             part = keys[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cut) != len(part):  # a file without word ends
-                out += self._library(part)
-                continue
-            flat, last = ids.tobytes(), 0
-            for c in cut:
-                out.append(flat[4 * last : 4 * c])
-                last = c
-        return out
-
-    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each chunk, one after the other, and how many each has."""
+            made = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[made]) + 1
+            if len(cut) != len(part):  # an empty key, or a file without word ends
+                made, size = self._library(part)
+            else:
+                size = np.diff(cut, prepend=0)
+            ids.append(made)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _distinct(self, chunks: pa.Array) -> pa.Array:
+        """Ids of each chunk, as little-endian bytes."""
         m = pc.extract_regex(chunks, _PLAIN)
         plain = m.is_valid()
-        word = pc.utf8_lower(m.field("word")).dictionary_encode()
-        tail = m.field("tail").dictionary_encode()
-        words, tails = word.dictionary.to_pylist(), tail.dictionary.to_pylist()
-        rest = chunks.filter(pc.invert(plain)).to_pylist()
-        known = self.words.fill({x for x in words if x})
-        others = self.others.fill({x for x in (*rest, *tails) if x})
-        at_word = [known[x] if x else b"" for x in words]
-        at_tail = [others[x] if x else b"" for x in tails]
-        n = len(chunks)
-        parts = np.empty(2 * n, dtype=object)
+        word = pc.utf8_lower(m.field("word")).filter(plain).dictionary_encode()
+        tail = m.field("tail").filter(plain).dictionary_encode()
+        tails = _packed(*self._library(tail.dictionary.to_pylist()))
+        joined = pc.binary_join_element_wise(self.words.get(word.dictionary).take(word.indices), tails.take(tail.indices), pa.scalar(b"", pa.large_binary()))
+        others = self.others.get(chunks.filter(pc.invert(plain)))
         flags = plain.to_numpy(zero_copy_only=False)
-        w = pc.fill_null(word.indices, 0).to_numpy()[flags]
-        t = pc.fill_null(tail.indices, 0).to_numpy()[flags]
-        where = np.flatnonzero(flags)
-        parts[:] = b""
-        if len(where):
-            parts[2 * where] = _objects(at_word)[w]
-            parts[2 * where + 1] = _objects(at_tail)[t]
-        parts[2 * np.flatnonzero(~flags)] = _objects([others[x] if x else b"" for x in rest])
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=2 * n).reshape(n, 2).sum(1) // 4
-        return np.frombuffer(b"".join(parts), dtype="<u4"), size
+        at = np.where(flags, np.cumsum(flags) - 1, len(joined) + np.cumsum(~flags) - 1)
+        return pa.concat_arrays([joined, others]).take(pa.array(at))
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.ListArray:
         """Ids of each text of an Arrow string array, with ``end`` after each if given; a null is an empty text."""
         texts = pc.fill_null(texts, "")
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = chunks.flatten().dictionary_encode()
-        ids, size = self._distinct(coded.dictionary)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        at = coded.indices.to_numpy()
+        known, at = self._distinct(coded.dictionary), coded.indices.to_numpy()
         bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
         if end is not None:  # one more chunk, of the end id alone, after the chunks of each text
-            ids, size, first = np.append(ids, np.uint32(end)), np.append(size, 1), np.append(first, len(ids))
-            at = np.insert(at, bounds[1:], len(size) - 1)
+            known = pa.concat_arrays([known, _packed(np.array([end]), np.array([1]))])
+            at = np.insert(at, bounds[1:], len(known) - 1)
             bounds = bounds + np.arange(len(bounds))
-        n = size[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(first[at] - total[:-1], n) + np.arange(total[-1])]
-        return pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(flat.view(np.int32)))
-
-
-def _objects(values: list) -> np.ndarray:
-    out = np.empty(len(values), dtype=object)
-    out[:] = values
-    return out
+        _, cut, flat = known.take(pa.array(at)).buffers()
+        total = np.frombuffer(cut, dtype=np.int64)[bounds] // 4
+        ids = np.frombuffer(flat, dtype="<i4")[: total[-1]] if flat is not None else np.empty(0, dtype="<i4")
+        return pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(ids))
 
 
 @lru_cache(2)
@@ -148,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, partitions:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(tokenizer), 0
-        for batch in trimmed(batches, encoder.forget):
+        for batch in trimmed(batches):
             for part in slices(batch, limit=8 << 20):
                 ids = encoder.encode(part.column("text"), end)
                 size = np.diff(ids.offsets.to_numpy()).astype(np.int64)
