@@ -103,6 +103,7 @@ def sketches(docs: DataFrame, paths: Paths) -> DataFrame:
                     ["doc_id", "row", "digest", "size", "chosen"],
                 )
 
+    scratch.small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", tx.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     return keyed.mapInArrow(sketch, "doc_id long, row binary, digest binary, size long, chosen array<struct<slot:int,token:long>>")
 

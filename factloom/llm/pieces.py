@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from factloom import scratch
 from factloom.llm.word_cache import TwoGenerations, trimmed
 from factloom.llm.words import slices
 
@@ -271,6 +272,7 @@ def encode(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    scratch.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long" + ", decoded string" * decode)
 
 
@@ -290,4 +292,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_crc32", "round_trip"],
                 )
 
+    scratch.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
